@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, linededup, mixing, neardup, toxicity, urls
+from . import chat, decontaminate, licenses, linededup, mixing, neardup, nndescent, toxicity, urls
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_source_mix, op6_near_dedup, op7_decontaminate, op8_line_dedup)}
+def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_source_mix, op6_near_dedup, op7_decontaminate, op8_line_dedup, op9_vector_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
