@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, linededup, mixing, neardup, nndescent, toxicity, urls
+from . import chat, decontaminate, licenses, linededup, mixing, neardup, nndescent, substrings, toxicity, urls
 from .common import table
 
 
@@ -60,6 +60,12 @@ def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_source_mix, op6_near_dedup, op7_decontaminate, op8_line_dedup, op9_vector_near_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_source_mix, op6_near_dedup, op7_decontaminate, op8_line_dedup, op9_vector_near_dedup, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
