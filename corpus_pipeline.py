@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telesift.llm import mixing, toxicity
+from telesift.llm import decontaminate, linededup, mixing, neardup, toxicity
 from telesift.llm.common import cut, table
 
 
@@ -15,17 +15,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("p_toxic <= 0.5").select(*docs.columns)
 
 
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the blocks of lines that they share with an earlier one; n_chars is counted again."""
+    out = linededup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate class."""
+    return neardup.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies of each."""
     return mixing.mix(docs).where(F.col("copies") > 0)
 
 
-STAGES = [("toxicity", drop_toxic), ("mix", mix_sources)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_shared_lines), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("mix", mix_sources)]
 #: The stages fit models and align texts, which SQL cannot say; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied in turn to documents, each result written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
