@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, licenses, linededup, mixing, neardup, nndescent, substrings, toxicity, urls
 from .common import table
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +71,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity, op4_url_filter, op5_source_mix, op6_near_dedup, op7_decontaminate, op8_line_dedup, op9_vector_near_dedup, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+

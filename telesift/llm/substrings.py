@@ -46,7 +46,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width and len(x) > width - size else x
 
 
-def runs(docs: DataFrame, length: int, block: int = 4 << 20) -> DataFrame:
+def runs(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
     """(v, doc_id, at, h): the windows of `length` bytes of each text, in runs that share the place of their least
     k-gram, of hash v.
 
@@ -95,7 +95,7 @@ def runs(docs: DataFrame, length: int, block: int = 4 << 20) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "v long, doc_id long, at long, h long")
 
 
-def repeated_windows(pieces: DataFrame, length: int, batch_bytes: int = 8 << 20) -> DataFrame:
+def repeated_windows(pieces: DataFrame, length: int, batch_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, lo, hi) of windows of pieces (v, doc_id, at, piece) that stand earlier in another piece of the same v.
 
     Pieces come sorted by v within tasks, and groups are gathered to batches of some megabytes, so a task holds one
@@ -147,6 +147,8 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     docs: unique non-null doc_id, text.
     """
+    if not GRAM < length <= GRAM + 254:
+        raise ValueError(f"length must be {GRAM + 1} to {GRAM + 254}")
     windows_of = F.col("at").bitwiseAND(F.lit(255))
     first_of = F.shiftright("at", 8)
     occ = runs(docs, length)
