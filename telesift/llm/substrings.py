@@ -219,8 +219,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             joint.append(union)
         return pd.DataFrame({"kept": left, "spans": joint})
 
-    d = docs.select(*kept).join(found, F.col("doc_id") == F.col("_d"), "left")
+    # the same rows as above, so that the texts that were shuffled by doc_id there serve here as well
+    there = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    d = docs.select(*kept).where(there).join(found, F.col("doc_id") == F.col("_d"), "left")
+    rest = docs.select(*kept).where(~there).select("*", F.lit(None).cast("long").alias("_d"), F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("_spans"))
     hit = F.col("_spans").isNotNull()
-    d = d.withColumn("_r", cut_out(F.when(hit, F.col("text")), "_spans"))
+    d = d.unionByName(rest).withColumn("_r", cut_out(F.when(hit, F.col("text")), "_spans"))
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return d.select(*kept, F.when(hit, F.col("_r.kept")).otherwise(raw).alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), F.when(hit, F.col("_r.spans")).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("spans"))
