@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WIDE_DIGITS = "０１２３４５６７８９"
@@ -65,7 +66,7 @@ def tag_list(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, "\n"), trim_u), lambda t: t != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_title(x: pd.Series) -> pd.Series:
     """NFKC, then lower case."""
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).lower())
