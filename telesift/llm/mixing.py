@@ -53,14 +53,14 @@ def copies_by_class(classes: DataFrame, target: DataFrame, most: float) -> DataF
     return s.select("source", "_class", "source_size", "target", m.alias("_m"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, corrections: int = 3) -> DataFrame:
     """docs with size, source_size, target, copies and taken.
 
     Every document has expected copies that grow with its length class (half a share more for each doubling, the
     preference) and reach its source's target in sum.  The whole part is certain.  The rest is an inclusion
     probability p; documents are ranked by [u / (1 - u)] / [p / (1 - p)] with u from a hash of doc_id and text, and
-    those ranked first are taken until the source's words are full.  One more place goes to the document, among those
-    left, whose size comes nearest to the words still missing, if it helps.
+    those ranked first are taken until the source's words are full.  Then `corrections` times one document goes in or
+    out, the one whose size comes nearest to the words still missing or too many, if that helps.
 
     The running sum goes over BINS bins of the rank, then BINS bins inside the bin where it ends, then over the rows
     of that last bin: no task holds a source.  Rows equal in all columns rank alike and are taken or left together.
@@ -114,14 +114,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     inside = ranked.join(f, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b1") == F.col("_x1")) & (F.col("_b2") == F.col("_x2")))
     third = running(inside, ["_rank", "_sum", "_need"], ["_rank"])
     third = cut(crossing(third, F.col("_sum"), ["_rank"]).select(F.col("source").alias("_s"), F.col("_rank").alias("_cut"), (F.col("_need") - F.col("_sum")).alias("_gap")))
-    # the document nearest to what is missing; it must help, and it must be one that has a place to fill
-    t = shared(third, 100_000)
-    left = ranked.join(t, F.col("source").eqNullSafe(F.col("_s"))).where("_rank >= _cut and size > 0")
-    nearest = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("miss"), F.col("_rank").alias("rank"), F.col("size").alias("size"), F.col("_gap").alias("gap"))).alias("_n"))
-    nearest = nearest.where("_n.miss < _n.gap").select(F.col("source").alias("_s2"), F.col("_n.rank").alias("_fill_rank"), F.col("_n.size").alias("_fill_size"))
-    cuts = need.join(third.withColumnRenamed("_s", "_s1"), F.col("_s").eqNullSafe(F.col("_s1")), "left").join(nearest, F.col("_s").eqNullSafe(F.col("_s2")), "left").select("_s", "_cut", "_need", "_fill_rank", "_fill_size")
-    cuts = shared(cut(cuts), 100_000)
-    out = placed(base).join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left")
-    drawn = F.col("_rank").isNotNull() & F.when(F.col("_cut").isNull(), F.col("_need") > 0.5).otherwise((F.col("_rank") < F.col("_cut")) | F.coalesce((F.col("_rank") == F.col("_fill_rank")) & (F.col("size") == F.col("_fill_size")), F.lit(False)))
+    cuts = need.join(third.withColumnRenamed("_s", "_s1"), F.col("_s").eqNullSafe(F.col("_s1")), "left").select("_s", "_cut", F.coalesce("_gap", F.lit(0.0)).alias("_gap"), "_need", F.array().cast("array<struct<rank:double,size:bigint>>").alias("_changed"))
+    cuts = cut(cuts)
+    me = F.struct(F.col("_rank").alias("rank"), F.col("size").alias("size"))
+    inside = F.when(F.col("_cut").isNull(), F.col("_need") > 0.5).otherwise(F.col("_rank") < F.col("_cut"))
+    changed = F.array_contains("_changed", me)
+    drawn = F.col("_rank").isNotNull() & (inside != changed)
+    # the one document that brings a source nearest to its words goes in or out, a few times
+    for _ in range(corrections):
+        t = shared(cuts, 100_000)
+        delta = F.when(drawn, -F.col("size")).otherwise(F.col("size"))
+        open_ = ranked.join(t, F.col("source").eqNullSafe(F.col("_s"))).where("_cut is not null and _rank is not null and size > 0").where(~changed)
+        best = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap") - delta).alias("miss"), F.col("_rank").alias("rank"), F.col("size").alias("size"), delta.alias("delta"), F.col("_gap").alias("gap"))).alias("_n"))
+        best = best.where("_n.miss < abs(_n.gap)").select(F.col("source").alias("_s2"), "_n")
+        cuts = cuts.join(best, F.col("_s").eqNullSafe(F.col("_s2")), "left")
+        more = F.when(F.col("_n").isNotNull(), F.array_append("_changed", F.struct(F.col("_n.rank").alias("rank"), F.col("_n.size").alias("size")))).otherwise(F.col("_changed"))
+        cuts = cut(cuts.select("_s", "_cut", (F.col("_gap") - F.coalesce("_n.delta", F.lit(0))).alias("_gap"), "_need", more.alias("_changed")))
+    out = placed(base).join(shared(cuts, 100_000), F.col("source").eqNullSafe(F.col("_s")), "left")
     copies = (F.floor("_m") + F.coalesce(drawn, F.lit(False)).cast("long")).cast("long")
     return out.select(*kept, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
