@@ -1,19 +1,23 @@
-"""Removal of byte strings that occur earlier in the corpus."""
+"""Removal of byte strings that occur earlier in the corpus: shards are suffix-sorted by external induced sorting."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import suffixes
 from .common import cut, joined, mix64, slices
 
 #: Bytes of the k-grams by which windows find their shard.
 GRAM = 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Two independent multipliers for window hashes.
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Multiplier of the hashes of whole runs.
+RUN_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def power(base: np.uint64, n: int) -> np.uint64:
@@ -83,8 +87,8 @@ def runs(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
                 n = stop[np.searchsorted(stop, begin, side="right")] - begin
                 with np.errstate(over="ignore"):
                     # hash of a byte range from running sums of byte * base^place
-                    inverse = np.uint64(pow(int(BASES[1]), -1, 1 << 64))
-                    p = np.cumprod(np.full(len(data), BASES[1]), dtype=np.uint64)
+                    inverse = np.uint64(pow(int(RUN_BASE), -1, 1 << 64))
+                    p = np.cumprod(np.full(len(data), RUN_BASE), dtype=np.uint64)
                     q = np.cumprod(np.full(len(data), inverse), dtype=np.uint64)
                     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(data.astype(np.uint64) + np.uint64(7)) * p, dtype=np.uint64)])
                     h = mix64((total[begin + n + length - 1] - total[begin]) * q[begin] + n.astype(np.uint64))
@@ -95,49 +99,92 @@ def runs(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "v long, doc_id long, at long, h long")
 
 
-def repeated_windows(pieces: DataFrame, length: int, batch_bytes: int = 2 << 20) -> DataFrame:
+class Shard:
+    """Pieces of texts, one after the other with a mark after each; beyond `memory` bytes they are on disk."""
+
+    def __init__(self, length: int, memory: int):
+        self.length, self.memory, self.size = length, memory, 0
+        self.raw = tempfile.SpooledTemporaryFile(max_size=memory)
+        self.doc: list[np.ndarray] = []
+        self.place: list[np.ndarray] = []
+        self.count: list[np.ndarray] = []
+
+    def add(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.size += self.raw.write(b"\n".join([*rows["piece"], b""]))
+            self.doc.append(rows["doc_id"].to_numpy())
+            self.place.append(rows["at"].to_numpy() >> 8)
+            self.count.append(rows["at"].to_numpy() & 255)
+
+    def late(self) -> Iterator[pd.DataFrame]:
+        """(doc_id, lo, hi) of windows that are equal to an earlier one of the shard.
+
+        The shard's suffixes are sorted with common prefixes.  Windows that share `length` bytes stand together there;
+        all but the first in the corpus are late.
+        """
+        if not self.size:
+            return
+        doc, place, count = (np.concatenate(x) for x in (self.doc, self.place, self.count))
+        begin = np.concatenate([[0], np.cumsum(count + self.length)[:-1]])
+        text = suffixes.room(self.size, np.uint16, self.memory)
+        self.raw.seek(0)
+        at = 0
+        while block := self.raw.read(1 << 20):
+            text[at : at + len(block)] = np.frombuffer(block, np.uint8).astype(np.uint16) + 1
+            at += len(block)
+        # the mark after a piece is smaller than all bytes, and no window reaches it
+        text[begin + count + self.length - 1] = 0
+        held: list[np.ndarray] = []
+        group = 0
+        for block in suffixes.suffixes(text, self.size, 257, self.length, self.length, self.memory):
+            where = block >> 8
+            ids = group + np.cumsum((block & 255) < self.length)
+            group = int(ids[-1]) if len(ids) else group
+            row = np.searchsorted(begin, where, side="right") - 1
+            good = where - begin[row] < count[row]
+            held.append(np.stack([ids[good], doc[row[good]], place[row[good]] + where[good] - begin[row[good]]]))
+            if sum(x.shape[1] for x in held) > suffixes.BLOCK:
+                x = np.concatenate(held, axis=1)
+                yield self.spans(x)
+                # of the group that may go on, its first window so far is enough
+                x = x[:, x[0] == group]
+                held = [x[:, np.lexsort((x[2], x[1]))[:1]]]
+        if held:
+            yield self.spans(np.concatenate(held, axis=1))
+
+    def spans(self, x: np.ndarray) -> pd.DataFrame:
+        """Late windows of whole groups (group, doc_id, place), joined where they follow each other."""
+        x = x[:, np.lexsort((x[2], x[1], x[0]))]
+        x = x[:, 1:][:, x[0, 1:] == x[0, :-1]]
+        d, p = x[1:, np.lexsort((x[2], x[1]))]
+        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
+        end = np.append(new[1:], len(d))[: len(new)] - 1
+        return pd.DataFrame({"doc_id": d[new], "lo": p[new], "hi": p[end] + self.length})
+
+
+def repeated_windows(pieces: DataFrame, length: int, shard_bytes: int = 2 << 20, memory: int = 1 << 23) -> DataFrame:
     """(doc_id, lo, hi) of windows of pieces (v, doc_id, at, piece) that stand earlier in another piece of the same v.
 
-    Pieces come sorted by v within tasks, and groups are gathered to batches of some megabytes, so a task holds one
-    batch.
+    Pieces come sorted by v within tasks, and the groups of v are gathered to shards of some megabytes.  A group is
+    never cut, so a shard may become as large as the largest group; its text, tuples and names then go to disk.
     """
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        first = (group["at"].to_numpy() >> 8).astype(np.int64)
-        raw = group["piece"].tolist()
-        count = np.array([len(p) - length + 1 for p in raw])
-        starts, data, _ = joined(raw)
-        take = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        a, b = rolled(data, length, BASES[0])[take], rolled(data, length, BASES[1])[take]
-        doc = np.repeat(group["doc_id"].to_numpy(), count)
-        place = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        order = np.lexsort((place, doc, b, a))
-        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        late = order[1:][same]
-        out = pd.DataFrame({"doc_id": doc[late], "place": place[late]}).sort_values(["doc_id", "place"])
-        d, p = out["doc_id"].to_numpy(), out["place"].to_numpy()
-        if not len(d):
-            return pd.DataFrame({"doc_id": [], "lo": [], "hi": []})
-        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)]))
-        end = np.append(new[1:], len(d)) - 1
-        return pd.DataFrame({"doc_id": d[new], "lo": p[new], "hi": p[end] + length})
-
     def run(batches):
-        held: list[pd.DataFrame] = []
-        size = 0
+        shard, last = Shard(length, memory), None
         for batch in batches:
-            held.append(batch)
-            size += int(batch["piece"].map(len).sum())
-            if size > batch_bytes:
-                rows = pd.concat(held, ignore_index=True)
-                last = rows["v"].iloc[-1]
-                ready = rows[rows["v"] != last]
-                if len(ready):
-                    yield solve(ready.reset_index(drop=True))
-                held = [rows[rows["v"] == last]]
-                size = int(held[0]["piece"].map(len).sum())
-        if held and sum(map(len, held)):
-            yield solve(pd.concat(held, ignore_index=True))
+            v = batch["v"].to_numpy()
+            if not len(v):
+                continue
+            sizes = np.concatenate([[0], np.cumsum(batch["piece"].map(len).to_numpy())])
+            a = 0
+            for x in np.flatnonzero(np.concatenate([[last is not None and v[0] != last], v[1:] != v[:-1]])).tolist():
+                if shard.size + sizes[x] - sizes[a] > shard_bytes:
+                    shard.add(batch.iloc[a:x])
+                    yield from shard.late()
+                    shard, a = Shard(length, memory), x
+            shard.add(batch.iloc[a:])
+            last = v[-1]
+        yield from shard.late()
 
     return pieces.repartition("v").sortWithinPartitions("v").mapInPandas(run, "doc_id long, lo long, hi long")
 
@@ -158,7 +205,7 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # all but the first of equal runs go whole
     copied = seg.where("c > 1").select("v", "h", "fd", "fa")
     whole = occ.join(copied, ["v", "h"]).where("doc_id <> fd or at <> fa").select("doc_id", first_of.alias("lo"), (first_of + windows_of + length - 1).alias("hi"))
-    # different runs of one v may share some windows: their bytes are compared
+    # different runs of one v may share some windows: their suffixes are sorted
     several = seg.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v")
     asked = seg.join(several, "v", "left_semi").groupBy("fd").agg(F.collect_list(F.struct("v", F.col("fa").alias("at"))).alias("asked"))
 

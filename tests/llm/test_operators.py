@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from compare import assert_same, connect
 
-from telesift.llm import chat, decontaminate, licenses, linededup, mixing, neardup, nndescent, queries, substrings, toxicity, urls
+from telesift.llm import chat, decontaminate, licenses, linededup, mixing, neardup, nndescent, queries, substrings, suffixes, toxicity, urls
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -407,3 +407,43 @@ def test_substrings(spark, n):
     assert substrings.remove_repeats(docs(spark, []), n).count() == 0
 
 
+@pytest.mark.parametrize("symbols", [1, 2, 3, 60])
+def test_suffixes(monkeypatch, symbols):
+    """Small memory, small blocks and a small limit for doubling: everything goes through disk and recursion."""
+    rng = np.random.default_rng(symbols)
+    for block, memory, inner in ((4, 5, 2), (64, 5, 10**6), (1 << 18, 10**6, 2), (1 << 18, 10**6, 10**6)):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        for n in (1, 2, 17, 90):
+            for x in (rng.integers(0, symbols, n).tolist(), (rng.integers(0, symbols, 6).tolist() * n)[:n]):
+                got = np.concatenate(list(suffixes.suffixes(np.array(x, np.uint16), n, symbols, 200, 200, memory, inner)))
+                order = sorted(range(n), key=lambda i: x[i:])
+                assert (got >> 8).tolist() == order
+                for a, b, c in zip(order, order[1:], (got & 255)[1:].tolist(), strict=False):
+                    real = next((k for k, (u, v) in enumerate(zip(x[a:], x[b:], strict=False)) if u != v), min(n - a, n - b))
+                    # beyond the end of the text nothing follows, so a prefix that reaches it may count on
+                    assert c == real or max(a, b) + real == n
+
+
+def test_shard_on_disk(monkeypatch):
+    """A shard much larger than the memory it may use finds the same windows as one in memory."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    middle = rng.integers(97, 100, 300).astype("u1").tobytes()
+    rows = pd.DataFrame([(d, 7 * 256 + 60, middle[k : k + 89]) for d, k in enumerate(rng.integers(0, 200, 400).tolist())], columns=["doc_id", "at", "piece"])
+    out = []
+    for block, memory in ((1 << 18, 1 << 23), (256, 1000)):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        monkeypatch.setattr(suffixes, "INNER", 50)
+        shard = substrings.Shard(30, memory)
+        shard.add(rows)
+        covered = {(r.doc_id, i) for part in shard.late() for r in part.itertuples() for i in range(r.lo, r.hi)}
+        out.append(covered)
+    assert out[0] == out[1] and len(out[0]) > 30000
+    seen, want = set(), set()
+    for r in rows.itertuples():
+        for i in range(60):
+            w = r.piece[i : i + 30]
+            want |= {(r.doc_id, 7 + j) for j in range(i, i + 30)} if w in seen else set()
+            seen.add(w)
+    assert out[0] == want
