@@ -126,7 +126,7 @@ class Shard:
             return
         doc, place, count = (np.concatenate(x) for x in (self.doc, self.place, self.count))
         begin = np.concatenate([[0], np.cumsum(count + self.length)[:-1]])
-        text = suffixes.room(self.size, np.uint16, self.memory)
+        text = suffixes.room(self.size + suffixes.PAD, np.uint16, self.memory)
         self.raw.seek(0)
         at = 0
         while block := self.raw.read(1 << 20):

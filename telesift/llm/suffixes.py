@@ -11,6 +11,8 @@ BLOCK = 1 << 18
 #: Shorter strings of names are sorted by doubling, longer ones by another level of induction.
 INNER = 1 << 22
 LOW = np.int64(255)
+#: Symbols that are compared at a time; so many more than its own a text should hold.
+PAD = 8
 
 
 def room(n: int, dtype, memory: int) -> np.ndarray:
@@ -209,13 +211,12 @@ def leftmost_smaller(text: np.ndarray, n: int, memory: int) -> np.ndarray:
 def alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """How many of `size` symbols are equal from places a and b on."""
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    step, top = np.arange(16), len(text) - 1
+    rows = np.lib.stride_tricks.sliding_window_view(text, PAD)
     while len(live):
-        x, y = a[live] + out[live], b[live] + out[live]
-        same = text[np.minimum(x[:, None] + step, top)] == text[np.minimum(y[:, None] + step, top)]
-        got = np.where(same.all(axis=1), 16, same.argmin(axis=1))
+        other = rows[np.minimum(a[live] + out[live], len(rows) - 1)] != rows[np.minimum(b[live] + out[live], len(rows) - 1)]
+        got = np.where(other.any(axis=1), other.argmax(axis=1), PAD)
         out[live] = np.minimum(out[live] + got, size[live])
-        live = live[(got == 16) & (out[live] < size[live])]
+        live = live[(got == PAD) & (out[live] < size[live])]
     return out
 
 
@@ -226,7 +227,7 @@ def doubled(names: np.ndarray, most: int) -> np.ndarray:
         nxt = np.zeros_like(rank)
         nxt[:-size] = rank[size:] + 1
         key = rank * (int(rank.max()) + 2) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         size *= 2
         if size >= min(most, len(rank)) or rank.max() == len(rank) - 1:
@@ -249,6 +250,8 @@ def suffixes(text: np.ndarray, n: int, symbols: int, depth: int, most: int | Non
     None).  Leftmost-smaller suffixes are named by an induction over their substrings, the string of names is sorted
     by the same steps again, and a second induction brings in all others.  Text and names are on disk if they are long.
     """
+    if len(text) < n + PAD:
+        text = np.append(text[:n], np.zeros(n + PAD - len(text), text.dtype))
     lms = leftmost_smaller(text, n, memory)
     if not len(lms):
         yield from induce(text, n, symbols, DiskQueue(memory), most, memory)
@@ -267,7 +270,7 @@ def suffixes(text: np.ndarray, n: int, symbols: int, depth: int, most: int | Non
 
     for k in range(0, len(lms), BLOCK):
         put(rough, np.asarray(lms[k : k + BLOCK]))
-    names, count = room(len(lms), np.int64, memory), -1
+    names, count = room(len(lms) + PAD, np.int64, memory), -1
 
     def chosen() -> Iterator[np.ndarray]:
         for block in induce(text, n, symbols, rough, None, memory):
@@ -283,7 +286,7 @@ def suffixes(text: np.ndarray, n: int, symbols: int, depth: int, most: int | Non
         count += int(new.sum())
     count += 1
     if len(lms) <= inner:
-        order = iter([doubled(names, depth)])
+        order = iter([doubled(names[: len(lms)], depth)])
     else:
         order = (x >> 8 for x in suffixes(names, len(lms), count, depth, None, memory, inner))
     seeds = DiskQueue(memory)
