@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections import Counter
 
 import numpy as np
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, cut, drop, joined, mix64, shared, slices, word_bounds, word_hashes
+from .common import FOLD, cut, joined, mix64, shared, slices, word_bounds, word_hashes
 from .components import components
 
 #: Words of a k-mer.
@@ -177,17 +176,65 @@ def verify(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 32, picks: int = 2, few_members: int = 40, steps: int = 4, levels: int = 7) -> DataFrame:
+def across(large: DataFrame, classes: DataFrame, text: DataFrame, sketch: DataFrame, similarity: float, block: int = 1000, block_bytes: int = 32 << 20) -> DataFrame:
+    """Links (a, b) that join the classes which meet in a bucket, so that no further link within a bucket would join two.
+
+    large is (bucket, rep, i: the sketch of the bucket), classes (id, component) what is known.  Buckets within one class
+    are left out.  The members of each other one are dealt into blocks, and each pair of blocks is a group of its own,
+    in which every pair of members is compared that no earlier sketch brings together and whose classes are still apart.
+    Before the alignment, pairs are ruled out by length and by an upper bound of their common words.
+    """
+    named = large.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+    mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
+    rows = cut(named.join(mixed, "bucket"))
+    size = rows.join(text.select(F.col("doc_id").alias("rep"), F.octet_length("words").alias("bytes")), "rep").groupBy("bucket")
+    size = size.agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("nb"))
+    rows = rows.join(size, "bucket").withColumn("blk", F.pmod(F.xxhash64("rep", "bucket"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.join(text.withColumnRenamed("doc_id", "rep"), "rep").join(sketch, "rep")
+    rows = rows.select("bucket", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "i", "rep", "class", "words", F.slice("sketch", F.lit(1), F.col("i")).alias("before"))
+
+    def tile(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rep")
+        ids, blk, label = g["rep"].to_numpy(), g["blk"].to_numpy(), np.unique(g["class"], return_inverse=True)[1]
+        lower, upper = g["p"].iloc[0], g["q"].iloc[0]
+        before = np.array([np.asarray(x, dtype=np.int64) for x in g["before"]]).reshape(len(g), -1)
+        words = [np.frombuffer(x, dtype="<u4") for x in g["words"]]
+        length = np.array([len(w) for w in words])
+        most = ((1 - similarity) * length + 1e-9).astype(np.int64)
+        # words counted by a small hash: two texts have no more words in common than the counts have
+        counts = np.stack([np.bincount(w % 2048, minlength=2048) for w in words]).astype(np.int32)
+        left = np.flatnonzero(blk == lower)
+        right = np.flatnonzero(blk == upper)
+        out = []
+        for r in left:
+            c = right[right > r] if lower == upper else right
+            c = c[label[c] != label[r]]
+            longer = np.maximum(length[c], length[r])
+            c = c[longer - np.minimum(length[c], length[r]) <= np.maximum(most[c], most[r])]
+            c = c[~(before[c] == before[r]).any(axis=1)]
+            if not len(c):
+                continue
+            common = np.concatenate([np.minimum(counts[c[a : a + 500]], counts[r]).sum(axis=1) for a in range(0, len(c), 500)])
+            may = np.maximum(length[c], length[r]) - common <= np.maximum(most[c], most[r])
+            for x in c[may][np.argsort(-common[may], kind="stable")]:
+                if label[x] != label[r] and alike(words[r], words[x], int(max(most[r], most[x]))):
+                    out.append((min(ids[r], ids[x]), max(ids[r], ids[x])))
+                    label[label == label[x]] = label[r]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return rows.groupBy("bucket", "p", "q").applyInPandas(tile, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 32, picks: int = 2, few_members: int = 40) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of the near-duplicate class of each document.
 
     1. Documents whose words are the same are one class; its smallest doc_id stands for it in what follows.
     2. Documents that share one of `count` Order MinHashes (of `picks` labelled k-mers of five words) are candidates.
        In a bucket of up to `few_members` documents every pair is compared.  In a larger one, which is mostly a group of
-       near copies, the member in the middle (its buckets hold the most documents) is compared with all others; those
-       that it matches have their class.  Those that it does not match share little but a passage: they are dealt
-       again, each by agreement in one of the next `steps` sketches as well, and the same is done with the new
-       buckets.  Only sketches of large buckets serve for that: who shares a small one has been compared there, and
-       nobody shares any other.  After `levels` levels they are not dealt again but led by one more member a round, until none is left.
+       near copies, the member in the middle (its buckets hold the most documents) is compared with all others.  Then
+       the large buckets whose members are not one class by now are finished by blocks: every pair is compared whose
+       classes are still apart (see across).  So the classes are those that comparing all candidates would give.
     3. A candidate pair is linked if a banded alignment of its words finds an edit similarity of `similarity` or more.
     4. Classes are the connected components of the links.
 
@@ -205,32 +252,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 32, p
     middle = F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("head")
     size = bucket.groupBy("bucket").agg(F.count("*").alias("c"), middle).where("c > 1")
     members = cut(bucket.join(size, "bucket"))
-    large = members.where(F.col("c") > few_members).groupBy("rep").agg(F.collect_list("i").alias("large"))
-    again = cut(first.join(large, "rep").select("rep", "sketch", "large"))
     # the texts are read again, but only those of documents that share a bucket with another
     wanted = members.select(F.col("rep").alias("_w")).distinct()
     wanted = all_rows.join(shared(wanted, 1_000_000), F.col("doc_id") == F.col("_w"), "left_semi")
     text = cut(word_table(wanted).groupBy("doc_id").agg(F.min("words").alias("words")))
-    links = copies
-    for level in itertools.count(1):
-        few = members.where(F.col("c") <= few_members).select("bucket", F.col("rep").alias("b"))
-        pairs = few.join(few.withColumnRenamed("b", "a"), "bucket").where("a < b").select("a", "b")
-        many = members.where((F.col("c") > few_members) & (F.col("rep") != F.col("head")))
-        pairs = pairs.unionByName(many.select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")))
-        good = cut(verify(cut(pairs.distinct()), text, similarity))
-        links = links.unionByName(good)
-        both = good.select(F.col("a").alias("head"), F.col("b").alias("rep")).unionByName(good.select(F.col("b").alias("head"), F.col("a").alias("rep")))
-        lost = many.join(both, ["head", "rep"], "left_anti").select("bucket", "rep", "i", "weight")
-        if level < levels:
-            ahead = F.filter("large", lambda j: (j - F.col("i") + count) % count <= steps)
-            lost = lost.join(again, "rep").select("bucket", "rep", "weight", "sketch", F.explode(F.array_remove(ahead, F.col("i"))).alias("i"))
-            lost = lost.select(F.xxhash64("bucket", "i", F.get("sketch", F.col("i"))).alias("bucket"), "rep", "i", "weight")
-        size = lost.groupBy("bucket").agg(F.count("*").alias("c"), middle).where("c > 1")
-        old, members = members, cut(lost.join(size, "bucket"))
-        drop(old)
-        if members.isEmpty():
-            break
-    classes = components(links).select(F.col("id").alias("_id"), "component")
+    few = members.where(F.col("c") <= few_members).select("bucket", F.col("rep").alias("b"))
+    pairs = few.join(few.withColumnRenamed("b", "a"), "bucket").where("a < b").select("a", "b")
+    many = members.where(F.col("c") > few_members)
+    pairs = pairs.unionByName(many.where("rep <> head").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")))
+    good = cut(verify(cut(pairs.distinct()), text, similarity))
+    sketch = first.select("rep", "sketch")
+    more = cut(across(many.select("bucket", "rep", "i"), components(good), text, sketch, similarity))
+    classes = components(copies.unionByName(good).unionByName(more)).select(F.col("id").alias("_id"), "component")
     out = docs.select("doc_id").distinct().join(classes, F.col("doc_id") == F.col("_id"), "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 

@@ -261,6 +261,42 @@ def test_near_duplicates_odd(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def brute_classes(rows, similarity=0.8, candidates=None):
+    """Components of all pairs of (doc_id, words) of that edit similarity, or of those of the candidates."""
+    ids = {}
+    coded = {i: np.array([ids.setdefault(w, len(ids)) for w in t], dtype="u4") for i, t in rows}
+    links = {i: set() for i in coded}
+    for a in coded:
+        for b in coded:
+            if a < b and (candidates is None or candidates(a, b)) and neardup.alike(coded[a], coded[b], int((1 - similarity) * max(len(coded[a]), len(coded[b])) + 1e-9)):
+                links[a].add(b)
+                links[b].add(a)
+    return reach(links)
+
+
+def sharing(rows, count=32, picks=2):
+    """Whether two of the documents (as Spark rows) share a sketch."""
+    sketch = {r.doc_id: list(r.sketch) for r in neardup.sketch_table(rows, count, picks).collect()}
+    return lambda a, b: any(x == y for x, y in zip(sketch[a], sketch[b], strict=True))
+
+
+def test_near_duplicates_chain(spark):
+    """Copies of copies, each near the one before only: a head matches few, and what it does not match links on."""
+    rng = np.random.default_rng(16)
+    t, rows = [f"w{rng.integers(0, 3000)}" for _ in range(100)], []
+    passage = [f"p{i}" for i in range(40)]
+    for i in range(400):
+        rows.append((i + 1, passage + t))
+        t = list(t)
+        for j in rng.choice(100, 20, replace=False):
+            t[j] = f"n{rng.integers(0, 10**6)}"
+    d = docs(spark, [(i, " ".join(t)) for i, t in rows])
+    want = brute_classes(rows, candidates=sharing(d))
+    assert len(set(want.values())) < 40
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    assert got == want
+
+
 # 7
 
 
