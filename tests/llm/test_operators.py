@@ -297,6 +297,22 @@ def test_near_duplicates_chain(spark):
     assert got == want
 
 
+def test_near_duplicates_passage(spark):
+    """Pairs that agree in one sketch are found in a bucket of any size, whatever else shares a passage with them."""
+    rng = np.random.default_rng(26)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for g in range(60):
+        t = [f"w{rng.integers(0, 10**6)}" for _ in range(100)]
+        u = list(t)
+        for j in rng.choice(100, 26, replace=False):
+            u[j] = f"n{rng.integers(0, 10**6)}"
+        rows += [(2 * g + 1, passage + t), (2 * g + 2, passage + u)]
+    d = docs(spark, [(i, " ".join(t)) for i, t in rows])
+    want = brute_classes(rows, candidates=sharing(d))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    assert got == want
+
+
 # 7
 
 
