@@ -14,7 +14,9 @@ from .common import FOLD, cut, joined, mix64, shared, slices, word_bounds, word_
 from .components import components
 
 #: Words of a k-mer.
-K = 5
+K = 3
+#: Texts of up to so many words have sketches of single words as well.
+SHORT = 60
 
 
 def kmers(w: np.ndarray, k: int = K) -> np.ndarray:
@@ -55,6 +57,14 @@ def sketches(h: np.ndarray, count: int, picks: int) -> np.ndarray:
     return out
 
 
+def signature(w: np.ndarray, count: int, picks: int) -> np.ndarray:
+    """The sketches of a text: `count` of k-mers of K words; for a short text, where few edits hit every k-mer, half as many of single words after them."""
+    if not len(w):
+        return np.zeros(0, dtype=np.uint64)
+    out = sketches(kmers(w, K), count, picks)
+    return np.concatenate([out, sketches(kmers(w, 1), count // 2, picks + 1)]) if len(w) <= SHORT else out
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if it is at most `most`, else most + 1.
 
@@ -138,7 +148,7 @@ def sketch_table(docs: DataFrame, count: int, picks: int) -> DataFrame:
     """(doc_id, key: a digest of all words, sketch).  Only this leaves the scan, not the texts."""
 
     def make(doc_id, w):
-        return doc_id, hashlib.blake2b(w.tobytes(), digest_size=16).digest(), sketches(kmers(w), count, picks).astype(np.int64) if len(w) else np.zeros(0, dtype=np.int64)
+        return doc_id, hashlib.blake2b(w.tobytes(), digest_size=16).digest(), signature(w, count, picks).astype(np.int64)
 
     return hashed_words(docs, "doc_id long, key binary, sketch array<long>", make)
 
@@ -185,6 +195,7 @@ def across(large: DataFrame, classes: DataFrame, text: DataFrame, sketch: DataFr
     Before the alignment, pairs are ruled out by length and by an upper bound of their common words.
     """
     named = large.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+    named = cut(named)
     mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
     rows = cut(named.join(mixed, "bucket"))
     size = rows.join(text.select(F.col("doc_id").alias("rep"), F.octet_length("words").alias("bytes")), "rep").groupBy("bucket")
@@ -226,11 +237,12 @@ def across(large: DataFrame, classes: DataFrame, text: DataFrame, sketch: DataFr
     return rows.groupBy("bucket", "p", "q").applyInPandas(tile, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 32, picks: int = 2, few_members: int = 40) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 40, picks: int = 2, few_members: int = 40) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of the near-duplicate class of each document.
 
     1. Documents whose words are the same are one class; its smallest doc_id stands for it in what follows.
-    2. Documents that share one of `count` Order MinHashes (of `picks` labelled k-mers of five words) are candidates.
+    2. Documents that share one of `count` Order MinHashes (of `picks` labelled k-mers of three words; short texts have
+       more, of single words) are candidates.
        In a bucket of up to `few_members` documents every pair is compared.  In a larger one, which is mostly a group of
        near copies, the member in the middle (its buckets hold the most documents) is compared with all others.  Then
        the large buckets whose members are not one class by now are finished by blocks: every pair is compared whose
@@ -238,7 +250,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 32, p
     3. A candidate pair is linked if a banded alignment of its words finds an edit similarity of `similarity` or more.
     4. Classes are the connected components of the links.
 
-    Null and empty texts have no words: all of them are one class.  Texts of fewer than five words are one k-mer.  Rows
+    Null and empty texts have no words: all of them are one class.  Texts of fewer than three words are one k-mer.  Rows
     that share a doc_id share a class; if their texts differ, the links of any of them count.  Rows with a null doc_id are not judged: they come back with a null class.
     """
     all_rows = docs.where("doc_id is not null")

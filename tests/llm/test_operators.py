@@ -274,12 +274,32 @@ def brute_classes(rows, similarity=0.8, candidates=None):
     return reach(links)
 
 
-def sharing(rows, count=32, picks=2):
+def sharing(rows, count=40, picks=2):
     """Whether two of the documents (as Spark rows) share a sketch."""
     sketch = {r.doc_id: list(r.sketch) for r in neardup.sketch_table(rows, count, picks).collect()}
     return lambda a, b: any(x == y for x, y in zip(sketch[a], sketch[b], strict=True))
 
 
+@pytest.mark.parametrize("n", [5, 6, 10, 20, 40, 61, 100, 300])
+def test_candidates_near_threshold(n):
+    """Pairs of edit similarity 0.8 to 0.83 (as near to 0.8 as whole words allow) that share a sketch."""
+    rng, pairs, caught = np.random.default_rng(n), 0, 0
+    while pairs < 400:
+        a = rng.integers(0, 2**32, n)
+        b = a.tolist()
+        for i in sorted(rng.choice(n, n // 5, replace=False), reverse=True):
+            kind = rng.integers(0, 3)
+            b[i : i + (kind != 0)] = [] if kind == 1 else [int(rng.integers(0, 2**32))]
+        u, v = a.astype("u4"), np.array(b, dtype="u4")
+        longer = max(len(u), len(v))
+        if not neardup.alike(u, v, int(0.2 * longer + 1e-9)) or longer >= 20 and neardup.alike(u, v, int(0.17 * longer)):
+            continue
+        pairs += 1
+        caught += bool(set(enumerate(neardup.signature(a.astype("u8"), 40, 2))) & set(enumerate(neardup.signature(np.array(b, dtype="u8"), 40, 2))))
+    print(n, caught / pairs)
+    assert caught >= 0.97 * pairs
+
+
 def test_near_duplicates_chain(spark):
     """Copies of copies, each near the one before only: a head matches few, and what it does not match links on."""
     rng = np.random.default_rng(16)
