@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared
@@ -82,19 +82,21 @@ def removals(docs: DataFrame, rare: int = 20, several: int = 3, least_words: int
     """(doc_id, lines): the places of the lines to delete from each document, blank lines not counted.
 
     A line's owner is the first document that has it (smallest doc_id), so a line that n documents share makes n - 1
-    pairs, never n * n.  A pair of an owner and a later document overlaps if it shares a line that at most `rare`
-    documents have, or `several` lines of any frequency: large groups of copies have no rare lines but share many.
-    Pairs are aligned by patience diff on the hashes of all their lines, which are a small part of the texts.
+    pairs, never n * n.  Pairs of an owner and a later document are aligned by patience diff on the hashes of all their
+    lines, which are a small part of the texts.  Only pairs that cannot have a block of `least_words` are left out: a
+    line of both has an owner no later than this one, so the lines of the later document with such owners are a bound.
+    `rare` and `several` once bounded the pairs; they have no effect and stand for callers that give them.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
     hashes = F.transform(lines, lambda x: F.unhex(F.substring(F.md5(x), 1, 24)))
     per_doc = docs.where("doc_id is not null and text is not null").select("doc_id", hashes.alias("h"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("n"))
     twice = per_doc.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     per_doc = cut(per_doc.join(shared(twice, 100_000), "doc_id", "left_anti"))
-    seen = per_doc.select("doc_id", F.explode(F.array_distinct("h")).alias("h"))
-    owners = seen.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("often")).where("often > 1")
-    pairs = seen.join(owners, "h").where("owner < doc_id").groupBy("owner", "doc_id").agg(F.count("*").alias("k"), F.min("often").alias("least"))
-    pairs = pairs.where((F.col("least") <= rare) | (F.col("k") >= several)).select("owner", "doc_id")
+    seen = per_doc.select("doc_id", F.explode(F.arrays_zip("h", "n")).alias("z")).select("doc_id", "z.h", "z.n")
+    owners = seen.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
+    pairs = seen.join(owners, "h").where("owner < doc_id").groupBy("owner", "doc_id").agg(F.sum("n").alias("n"))
+    bound = F.sum("n").over(Window.partitionBy("doc_id").orderBy("owner"))
+    pairs = pairs.withColumn("bound", bound).where(F.col("bound") >= least_words).select("owner", "doc_id")
     first = per_doc.select(F.col("doc_id").alias("owner"), F.col("h").alias("a"))
     both = pairs.join(first, "owner").join(per_doc.select("doc_id", F.col("h").alias("b"), "n"), "doc_id").select("doc_id", "a", "b", "n")
 

@@ -400,6 +400,15 @@ def test_line_dedup_many_copies(spark):
     assert sorted((r.doc_id, r.n_removed) for r in out) == [(i, 6 if i else 0) for i in range(60)]
 
 
+@pytest.mark.parametrize("n", [21, 2000])
+def test_line_dedup_frequent_passage(spark, n):
+    """One line, or two short ones with different owners, that many documents share."""
+    line = " ".join(f"p{i}" for i in range(60))
+    rows = [(0, "two words\nown of 0"), (1, "own of 1\ntwo words\nthree more words\nend 1"), *[(i, f"own of {i}\n{line}\nend {i}\ntwo words\nthree more words\nlast {i}") for i in range(2, n + 2)]]
+    out = {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert out == {0: 0, 1: 0, 2: 2, **{i: 3 for i in range(3, n + 2)}}
+
+
 # 9
 
 
