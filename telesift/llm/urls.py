@@ -38,26 +38,30 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.select("src", target.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, follow: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, follow: float = 0.85, cut_every: int = 5) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, seed summing to 1) over edges (src, dst, share).
 
     share is the part of src's links that go to dst.  A host without links passes nothing on.  Contributions are
-    added up within tasks before they are shuffled, so a host that everyone links to is one row per task.
+    added up within tasks before they are shuffled, so a host that everyone links to is one row per task.  Goes on
+    until `cut_every` rounds reach no further host and change the ranks by `tolerance` or less in sum.
     """
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    written = None
-    for i in range(rounds):
-        moved = edges.join(rank, edges["src"] == rank["host"]).select(F.col("dst").alias("host"), (follow * F.col("share") * F.col("rank")).alias("x"))
-        base = seeds.select("host", ((1 - follow) * F.col("seed")).alias("x"))
-        rank = moved.unionByName(base).groupBy("host").agg(F.sum("x").alias("rank"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            rank = cut(rank)
-            drop(written)
-            written = rank
-    return rank
-
-
-def judge(pages: DataFrame, rules=RULES, rounds: int = 10, follow: float = 0.85, most: float = 0.5) -> DataFrame:
+    rank = cut(seeds.select("host", F.col("seed").alias("rank")))
+    while True:
+        last = rank
+        for _ in range(cut_every):
+            moved = edges.join(rank, edges["src"] == rank["host"]).select(F.col("dst").alias("host"), (follow * F.col("share") * F.col("rank")).alias("x"))
+            base = seeds.select("host", ((1 - follow) * F.col("seed")).alias("x"))
+            rank = moved.unionByName(base).groupBy("host").agg(F.sum("x").alias("rank"))
+        rank = cut(rank)
+        # hosts once reached stay reached
+        both = rank.join(last.select("host", F.col("rank").alias("was")), "host", "left")
+        found = both.agg(F.count(F.when(F.col("was").isNull(), 1)).alias("new"), F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))).alias("change")).first()
+        drop(last)
+        if not found["new"] and (found["change"] or 0) <= tolerance:
+            return rank
+
+
+def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-6, follow: float = 0.85, most: float = 0.5) -> DataFrame:
     """pages with host, path, rule, trust, distrust and verdict.
 
     A rule's verdict stands.  Other pages go by their host: trust starts at hosts in proportion to their pages that
@@ -83,7 +87,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 10, follow: float = 0.85,
         out = edges.groupBy("src").agg(F.sum("n").alias("total")).withColumnRenamed("src", "_src")
         edges = cut(edges.join(out, F.col("src") == F.col("_src")).select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
         seeds = hosts.where(F.col(col) > 0).select(F.col("_host").alias("host"), (F.col(col) / float(total[col])).alias("seed"))
-        scores.append(pagerank(edges, seeds, rounds, follow).withColumnRenamed("rank", name))
+        scores.append(pagerank(edges, seeds, tolerance, follow).withColumnRenamed("rank", name))
     known = [s for s in scores if s is not None]
     if not known:
         per_host = hosts.select(F.col("_host").alias("host"))

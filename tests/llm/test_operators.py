@@ -161,6 +161,15 @@ def test_trust_spreads(spark):
     assert urls.judge(spark.createDataFrame([], page)).count() == 0
 
 
+def test_distrust_reaches_far(spark):
+    """A chain of 14 hosts that ends at a blocked one."""
+    hosts = [f"h{i}.net" for i in range(14)] + ["x.com"]
+    rows = [(i, f"http://{h}/de/1", f'<a href="http://{n}/">t</a>') for i, (h, n) in enumerate(zip(hosts, [*hosts[1:], ""], strict=True))]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    assert all(abs(r.distrust - 0.15 * 0.85 ** (14 - i)) < 1e-6 for i, r in got.items())
+
+
 # 5
 
 
