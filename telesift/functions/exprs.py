@@ -12,9 +12,27 @@ from pyspark.sql.types import StringType
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WIDE_DIGITS = "０１２３４５６７８９"
 BROADCAST_FLAGS = r"(\s*\[[^\[]*\])+\s*$"
+DIGIT, ZERO, OTHER = "[0-9０-９]", "[0０]", "[1-9１-９]"
+
+
+def up_to(n: str) -> str:
+    """A pattern of numbers of as many digits as n that are n or less, without a zero in front."""
+    out = []
+    for i, c in enumerate(n):
+        least = "1" if i == 0 else "0"
+        below = chr(ord(c) - (i < len(n) - 1))
+        if below >= least:
+            wide = lambda x: WIDE_DIGITS[int(x)]
+            head = "".join(f"[{x}{wide(x)}]" for x in n[:i])
+            out.append(f"{head}[{least}-{below}{wide(least)}-{wide(below)}]" + f"{DIGIT}{{{len(n) - 1 - i}}}")
+    return f"(?:{'|'.join(out)})"
+
+
+#: Digits of an episode number, after zeros: four at most.  The fifth of a number up to 65535 counts for its value, but
+#: stays in the text; larger numbers are none.
+NUMBER = f"(?={DIGIT})(?:({ZERO}*(?:{OTHER}{DIGIT}{{0,3}})?)(?!{DIGIT})|({ZERO}*(?={up_to('65535')}){DIGIT}{{4}})(?=({DIGIT})))"
 #: series, number after a number sign, number between 第 and 話, rest
-EPISODE = r"(?s)^(.*?)(?:[#＃]([0-9０-９]{1,4})|第[ 　]*([0-9０-９]{1,4})(?:[ 　]*話)?)(.*)$"
-EPISODE_LONG = r"[#＃第][ 　]*[0-9０-９]{5}"
+EPISODE = rf"(?s)^(.*?)(?:[#＃]{NUMBER}|第[ 　]*{NUMBER}(?:[ 　]*話)?)(.*)$"
 
 
 def trim_u(x: Column) -> Column:
@@ -98,6 +116,13 @@ def number(digits: Column) -> Column:
     return F.nullif(F.translate(digits, WIDE_DIGITS, "0123456789"), F.lit("")).cast("int")
 
 
+def leading_number(x: Column) -> Column:
+    """struct(value, digits) of the number that a text starts with: its value and the digits it takes; null if there is none."""
+    pattern = f"^{NUMBER}"
+    plain, head, fifth = (F.regexp_extract(x, pattern, i) for i in (1, 2, 3))
+    return F.when(x.rlike(pattern), F.struct(number(F.concat(plain, head, fifth)).alias("value"), F.char_length(F.concat(plain, head)).alias("digits")))
+
+
 def series_episode(title: Column) -> Column:
     """struct(series, episode, subtitle) of a title: #N or 第N話, else split at the first blank."""
     hit = title.rlike(EPISODE)
@@ -105,10 +130,10 @@ def series_episode(title: Column) -> Column:
     def part(i):
         return F.regexp_extract(title, EPISODE, i)
 
-    episode = F.when(hit, F.coalesce(number(part(2)), number(part(3))))
+    episode = F.when(hit, F.coalesce(number(part(2)), number(F.concat(part(3), part(4))), number(part(5)), number(F.concat(part(6), part(7)))))
     blank = r"(?s)^([^ 　]*)[ 　](.*)$"
     series = F.when(hit, trim_u(part(1))).when(title.rlike(blank), trim_u(F.regexp_extract(title, blank, 1))).otherwise(trim_u(title))
-    rest = F.when(hit, part(4)).when(title.rlike(blank), F.regexp_extract(title, blank, 2)).otherwise("")
+    rest = F.when(hit, part(8)).when(title.rlike(blank), F.regexp_extract(title, blank, 2)).otherwise("")
     return F.struct(series.alias("series"), episode.alias("episode"), F.nullif(strip_flags(rest), F.lit("")).alias("subtitle"))
 
 

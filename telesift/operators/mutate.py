@@ -125,9 +125,18 @@ def last_part(path: Column) -> Column:
 
 
 def next_ids(df: DataFrame, old: DataFrame, key: str, order: str) -> DataFrame:
-    """df with ids that go on from the largest of old.  Only new rows are numbered."""
+    """df with ids that go on from the largest of old.
+
+    Rows are numbered within cells of a hash of `order` (unique), and at most 65,536 counts say where each cell starts;
+    so no task sees all rows, and a retry gives the same ids.
+    """
     top = old.agg(F.coalesce(F.max(key), F.lit(-1)).alias("_top"))
-    return df.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.row_number().over(Window.orderBy(order))).drop("_top")
+    cells = df.withColumn("_cell", F.pmod(F.xxhash64(order), F.lit(1 << 16)))
+    size = cells.groupBy("_cell").agg(F.count("*").alias("_n"))
+    start = size.select(F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy(order))
+    out = cells.withColumn("_i", within).join(F.broadcast(start), F.col("_cell") == F.col("_c")).crossJoin(F.broadcast(top))
+    return out.withColumn(key, F.col("_top") + F.col("_start") + F.col("_i")).drop("_top", "_cell", "_c", "_start", "_i")
 
 
 def enqueue(t: Tables, on_disk: DataFrame, exclude: tuple[str, ...] = (), include: tuple[str, ...] = (), mounted: bool = True) -> Tables:
@@ -166,6 +175,15 @@ def claim_regen(files: DataFrame, most: int = 1) -> DataFrame:
     return files.where("pes_regen = 1").orderBy("ts_file_id").limit(most).select("ts_file_id")
 
 
+def finish_regen(t: Tables, ids: DataFrame) -> Tables:
+    """Idle again, whatever came of making the caption stream; the next listing queues a file that still lacks one."""
+    return t.with_(ts_files=marked(t.ts_files, ids, {"pes_regen": F.lit(0)}))
+
+
+def start_regen(t: Tables, ids: DataFrame) -> Tables:
+    return t.with_(ts_files=marked(t.ts_files, ids, {"pes_regen": F.lit(2)}))
+
+
 def reset_files(t: Tables, ids: DataFrame, strict: bool = True) -> Tables:
     """Back to pending, without captions and metadata; an unknown id is an error."""
     if strict:

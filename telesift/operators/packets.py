@@ -33,6 +33,8 @@ def demux_pes(packets: DataFrame, caption_pids: DataFrame) -> DataFrame:
 
     A packet that starts a unit starts an island; what follows belongs to it.  The declared length cuts it (0: none).
     Packets before the first start, starts with fewer than nine bytes, and PES without a time or payload are dropped.
+    The time must lie in the first packet of a unit, 14 bytes long at least; the first time of all is time 0, whether or
+    not its unit has a payload.
     """
     own = packets.join(caption_pids, ["path", "pid"]).where("payload is not null")
     w = Window.partitionBy("path").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -41,11 +43,11 @@ def demux_pes(packets: DataFrame, caption_pids: DataFrame) -> DataFrame:
     first = F.unhex(F.element_at("x", 1)["x"])
     parts = parts.where(F.octet_length(first) >= 9)
     raw = F.unhex(F.array_join(F.transform("x", lambda p: p["x"]), ""))
-    p = parts.select("path", "pkt_no", raw.alias("raw")).where((byte(F.col("raw"), 0) == 0) & (byte(F.col("raw"), 1) == 0) & (byte(F.col("raw"), 2) == 1))
+    p = parts.select("path", "pkt_no", first.alias("first"), raw.alias("raw"))
     declared = byte(F.col("raw"), 4) * 256 + byte(F.col("raw"), 5)
     p = p.withColumn("raw", F.when(declared > 0, F.substring("raw", F.lit(1), (declared + 6).cast("int"))).otherwise(F.col("raw")))
-    has_pts = (F.shiftright(byte(F.col("raw"), 7), 6) != 0) & (F.octet_length("raw") >= 14)
-    p = p.withColumn("pts", F.when(has_pts, parse_pts(*[byte(F.col("raw"), 9 + i) for i in range(5)])))
+    has_pts = (F.shiftright(byte(F.col("first"), 7), 6) != 0) & (F.octet_length("first") >= 14)
+    p = p.withColumn("pts", F.when(has_pts, parse_pts(*[byte(F.col("first"), 9 + i) for i in range(5)])))
     p = p.withColumn("payload", pes_payload(F.col("raw")))
     p = pts_to_ms(p, ["path"], ["pkt_no"])
     return p.where((F.octet_length("payload") > 0) & F.col("pts").isNotNull()).select("path", "pkt_no", F.col("ms").alias("pts_ms"), "payload")

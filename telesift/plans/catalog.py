@@ -177,9 +177,9 @@ def _(t):
     return t.ts_files.where(F.col("episode_title").isNotNull()).select("ts_file_id", "episode_title")
 
 
-@query("f17_not_in_subquery", "SELECT program_id FROM programs WHERE program_id NOT IN (SELECT DISTINCT program_id FROM ts_files WHERE program_id IS NOT NULL AND ts_file_id % 9 = 0)")
+@query("f17_not_in_subquery", "SELECT program_id FROM programs WHERE program_id NOT IN (SELECT DISTINCT program_id FROM ts_files WHERE program_id IS NOT NULL AND ts_file_id % 30 = 0)")
 def _(t):
-    used = t.ts_files.where("program_id is not null and ts_file_id % 9 = 0").select("program_id").distinct()
+    used = t.ts_files.where("program_id is not null and ts_file_id % 30 = 0").select("program_id").distinct()
     return t.programs.select("program_id").join(used, "program_id", "left_anti")
 
 
@@ -358,13 +358,13 @@ def _(t):
 
 # scalar functions
 
-TITLE = "concat(source, CASE doc_id % 7 WHEN 0 THEN ' #' || doc_id % 100 || ' ' || lang WHEN 1 THEN concat('＃', doc_id % 100, lang) WHEN 2 THEN concat(' 第', doc_id % 100, '話 ', lang) WHEN 3 THEN concat('　', lang) WHEN 4 THEN concat(' ', lang) WHEN 5 THEN concat('第 ', doc_id % 100) ELSE '' END, CASE doc_id % 3 WHEN 0 THEN '[字][デ]' WHEN 1 THEN ' [SS] ' ELSE '' END)"
+TITLE = "concat(source, CASE doc_id % 7 WHEN 0 THEN ' #' || doc_id * 37 % 70000 || ' ' || lang WHEN 1 THEN concat('＃', doc_id % 100, lang) WHEN 2 THEN concat(' 第', doc_id % 100, '話 ', lang) WHEN 3 THEN concat('　', lang) WHEN 4 THEN concat(' ', lang) WHEN 5 THEN concat('第 ', lpad(CAST(doc_id * 41 % 70000 AS VARCHAR), 7, '0')) ELSE '' END, CASE doc_id % 3 WHEN 0 THEN '[字][デ]' WHEN 1 THEN ' [SS] ' ELSE '' END)"
 
 
 def _titles(t):
     i = F.col("doc_id")
     n = (i % 100).cast("string")
-    mid = F.when(i % 7 == 0, F.concat(F.lit(" #"), n, F.lit(" "), "lang")).when(i % 7 == 1, F.concat(F.lit("＃"), n, "lang")).when(i % 7 == 2, F.concat(F.lit(" 第"), n, F.lit("話 "), "lang")).when(i % 7 == 3, F.concat(F.lit("　"), "lang")).when(i % 7 == 4, F.concat(F.lit(" "), "lang")).when(i % 7 == 5, F.concat(F.lit("第 "), n)).otherwise("")
+    mid = F.when(i % 7 == 0, F.concat(F.lit(" #"), (i * 37 % 70000).cast("string"), F.lit(" "), "lang")).when(i % 7 == 1, F.concat(F.lit("＃"), n, "lang")).when(i % 7 == 2, F.concat(F.lit(" 第"), n, F.lit("話 "), "lang")).when(i % 7 == 3, F.concat(F.lit("　"), "lang")).when(i % 7 == 4, F.concat(F.lit(" "), "lang")).when(i % 7 == 5, F.concat(F.lit("第 "), F.lpad((i * 41 % 70000).cast("string"), 7, "0"))).otherwise("")
     end = F.when(i % 3 == 0, "[字][デ]").when(i % 3 == 1, " [SS] ").otherwise("")
     return t.raw["documents"].select("doc_id", "source", "lang", F.concat("source", mid, end).alias("title"))
 
@@ -426,26 +426,33 @@ def _(t):
     return _titles(t).select("doc_id", X.strip_flags(F.col("title")).alias("title"))
 
 
-EP = "(?s)^(.*?)(?:[#＃]([0-9０-９]{1,4})|第[ 　]*([0-9０-９]{1,4})(?:[ 　]*話)?)(.*)$"
-BLANK = "(?s)^([^ 　]*)[ 　](.*)$"
+SPLIT = "regexp_matches(t, '^[^ 　]*[ 　]')"
+#: The rule step by step: each place of a sign, the digits after it, how many count and what they are worth.
+EPISODE_CTES = f"""
+titles AS (SELECT doc_id, {STRIPPED} AS t FROM documents),
+spots AS (SELECT doc_id, t, i, substr(t, i, 1) = '第' AS ordinal, CASE WHEN substr(t, i, 1) = '第' THEN ltrim(substr(t, i + 1), ' 　') ELSE substr(t, i + 1) END AS rest FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM titles) x WHERE substr(t, i, 1) IN ('#', '＃', '第')),
+numbers AS (SELECT *, regexp_extract(translate(rest, '０１２３４５６７８９', '0123456789'), '^[0-9]+') AS d FROM spots),
+worth AS (SELECT *, CASE WHEN length(ltrim(d, '0')) <= 4 THEN length(d) ELSE length(d) - length(ltrim(d, '0')) + 4 END AS used, CAST(coalesce(nullif(left(ltrim(d, '0'), 5), ''), '0') AS INT) AS v FROM numbers WHERE d <> ''),
+firsts AS (SELECT doc_id, i, v, ordinal, substr(rest, used + 1) AS tail FROM worth WHERE v <= 65535 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
+parts AS (SELECT t.doc_id, t, i, v, CASE WHEN i IS NULL AND {SPLIT} THEN regexp_replace(t, '^[^ 　]*', '') WHEN i IS NULL THEN '' WHEN ordinal AND starts_with(ltrim(tail, ' 　'), '話') THEN substr(ltrim(tail, ' 　'), 2) ELSE tail END AS rest FROM titles t LEFT JOIN firsts USING (doc_id)),
+episodes AS (SELECT doc_id, CASE WHEN i IS NOT NULL THEN {trim('left(t, i - 1)')} WHEN {SPLIT} THEN regexp_extract(t, '^[^ 　]*') ELSE t END AS series, v AS episode, nullif({trim(f"regexp_replace({trim('rest')}, '{FLAGS}', '')")}, '') AS subtitle FROM parts)"""
 
 
-def _part(i):
-    return f"regexp_extract(t, '{EP}', {i})"
-
-
-HIT, SPLIT = f"regexp_matches(t, '{EP}')", f"regexp_matches(t, '{BLANK}')"
-REST = f"CASE WHEN {HIT} THEN {_part(4)} WHEN {SPLIT} THEN regexp_extract(t, '{BLANK}', 2) ELSE '' END"
-SERIES_SQL = f"SELECT doc_id, CASE WHEN {HIT} THEN {trim(_part(1))} WHEN {SPLIT} THEN {trim(f"regexp_extract(t, '{BLANK}', 1)")} ELSE {trim('t')} END AS series, CAST(CASE WHEN {HIT} THEN coalesce(nullif({_part(2)}, ''), nullif({_part(3)}, '')) END AS INT) AS episode, nullif({trim(f"regexp_replace({trim(REST)}, '{FLAGS}', '')")}, '') AS subtitle FROM (SELECT doc_id, {STRIPPED} AS t FROM documents) x"
+@query("x14_parse_digits", f"SELECT doc_id, CASE WHEN d <> '' AND v <= 65535 THEN v END AS value, CASE WHEN d <> '' AND v <= 65535 THEN used END AS digits FROM (SELECT doc_id, d, CASE WHEN length(ltrim(d, '0')) <= 4 THEN length(d) ELSE length(d) - length(ltrim(d, '0')) + 4 END AS used, CAST(coalesce(nullif(left(ltrim(d, '0'), 5), ''), '0') AS INT) AS v FROM (SELECT doc_id, regexp_extract(concat(CASE WHEN doc_id % 9 > 0 THEN doc_id * 7919 % (10 ** (doc_id % 9))::BIGINT END, lang), '^[0-9]+') AS d FROM documents) x) y")
+def _(t):
+    i = F.col("doc_id")
+    number = F.when(i % 9 > 0, (i * 7919 % F.pow(F.lit(10.0), i % 9).cast("long")).cast("string")).otherwise("")
+    n = t.raw["documents"].select("doc_id", X.leading_number(F.concat(F.translate(number, "012345", "０１２345"), "lang")).alias("n"))
+    return n.select("doc_id", F.col("n.value").alias("value"), F.col("n.digits").cast("long").alias("digits"))
 
 
-@query("x15_extract_series_episode", SERIES_SQL)
+@query("x15_extract_series_episode", "SELECT doc_id, series, episode, subtitle FROM episodes", EPISODE_CTES)
 def _(t):
     s = _titles(t).select("doc_id", X.series_episode(X.strip_flags(F.col("title"))).alias("s"))
     return s.select("doc_id", "s.series", "s.episode", "s.subtitle")
 
 
-@query("x16_fill_series_episode", SERIES_SQL.replace("SELECT doc_id, CASE", "SELECT doc_id, episode_ AS episode FROM (SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 9 AS INT) END, episode) AS episode_ FROM (SELECT doc_id, CASE", 1) + ") y) z")
+@query("x16_fill_series_episode", "SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 9 AS INT) END, episode) AS episode FROM episodes", EPISODE_CTES)
 def _(t):
     s = _titles(t).select("doc_id", X.series_episode(X.strip_flags(F.col("title"))).alias("s"))
     return s.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 5 == 0, (F.col("doc_id") % 9).cast("int")), "s.episode").alias("episode"))

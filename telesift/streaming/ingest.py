@@ -57,7 +57,7 @@ def stream_pes(packets: DataFrame, idle: str | None = None) -> DataFrame:
 
         def flush():
             nonlocal held
-            if len(held) > 9 and pts is not None and held[:3] == b"\0\0\1":
+            if len(held) > 9 and pts is not None:
                 payload = held[9 + held[8] :]
                 if payload:
                     out.append((key[0], no, (pts - epoch) % PTS_RANGE // 90, payload))

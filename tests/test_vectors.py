@@ -83,12 +83,35 @@ def test_strip_flags(spark, x, want):
         ("番組名　サブタイトル", ("番組名", None, "サブタイトル")),
         ("シリーズ #タグ", ("シリーズ", None, "#タグ")),
         ("", ("", None, None)),
+        ("番組 #12345 副題", ("番組", 12345, "5 副題")),
+        ("番組 #99999 副題", ("番組", None, "#99999 副題")),
+        ("番組 #99999 第２話 副題", ("番組 #99999", 2, "副題")),
+        ("番組 第0012話", ("番組", 12, None)),
+        ("番組 #65535", ("番組", 65535, "5")),
+        ("番組 #65536", ("番組", None, "#65536")),
+        ("番組 #0", ("番組", 0, None)),
     ],
 )
 def test_series_episode(spark, x, want):
     assert tuple(one(spark, X.series_episode(F.col("x")), x=x)) == want
 
 
+@pytest.mark.parametrize("x, want", [("12", (12, 2)), ("１２", (12, 2)), ("1２3", (123, 3)), ("abc", None), ("", None), ("12345", (12345, 4)), ("123456", (12345, 4)), ("65536", None), ("0", (0, 1)), ("000065535x", (65535, 8)), ("9999x", (9999, 4))])
+def test_leading_number(spark, x, want):
+    got = one(spark, X.leading_number(F.col("x")), x=x)
+    assert (None if got is None else tuple(got)) == want
+
+
+def test_additional_signs():
+    """The whole table: 531 signs, the empty places, and code points at the ends of each row."""
+    table = b24.extra_table()
+    assert len(table) == 531 and all(len(c) == 1 for c in table.values())
+    rows = {r: [k & 0xFF for k in table if k >> 8 == r] for r in range(0x75, 0x7F)}
+    assert {r: len(v) for r, v in rows.items()} == {0x75: 94, 0x76: 43, 0x77: 0, 0x78: 0, 0x79: 0, 0x7A: 73, 0x7B: 49, 0x7C: 91, 0x7D: 88, 0x7E: 93}
+    want = {0x7A21: 0x26CC, 0x7A74: 0x1F200, 0x7B21: 0x26E3, 0x7B51: 0x26FF, 0x7C21: 0x27A1, 0x7C7B: 0x213B, 0x7D21: 0x322A, 0x7D7B: 0x260E, 0x753A: 0xFA10, 0x7547: 0xFA6B, 0x755B: 0xFA45, 0x755F: 0xFA46, 0x7563: 0xFA6C, 0x756E: 0xFA4A, 0x762B: 0xFA6D}
+    assert {k: ord(table[k]) for k in want} == want
+
+
 @pytest.mark.parametrize("x, want", [(0x00, 0), (0x99, 99), (0x0A, None), (0xA0, None)])
 def test_bcd(spark, x, want):
     assert one(spark, X.bcd_byte(F.col("x").cast("int")), x=x) == want
