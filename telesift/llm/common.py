@@ -34,9 +34,15 @@ def words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A new folder for an intermediate table, in the shared one of spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster it is an error, for executors would not
+    see each other's files.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = f"file://{tempfile.gettempdir()}/telesift-scratch"
     return f"{top}/{uuid.uuid4().hex}"
 
@@ -59,9 +65,18 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shared(df: DataFrame, most_rows: int) -> DataFrame:
-    """Mark df for broadcast if it has been counted and has most_rows rows or fewer; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def shared(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Mark df for broadcast if its rows were measured to hold most_bytes or less; else leave the join to Spark."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long") + 16).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= most_bytes else df
+
+
+def packed(df: DataFrame, new: tuple[str, ...] = ()) -> DataFrame:
+    """df with one more column `_row` that holds all columns but those named in new, whatever they are called.
+
+    What an operator adds then clashes with nothing: it selects what it reads, and `_row.*` at its end.
+    """
+    return df.select(F.struct(*[c for c in df.columns if c not in new]).alias("_row"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

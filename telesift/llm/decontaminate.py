@@ -58,13 +58,13 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     places = empty
     for df in placed:
         places = df if places is empty else places.unionByName(df)
-    matches = cut(places.join(shared(known.select("shingle", "sid"), 2_000_000), "shingle").select("doc_id", "_t", "pos", "sid").distinct())
+    matches = cut(places.join(shared(known.select("shingle", "sid")), "shingle").select("doc_id", "_t", "pos", "sid").distinct())
     often = matches.groupBy("sid").agg(F.count("*").alias("times"))
     # the prefix of each window: its rarest shingle, at its first place in the window; without it there is no match
     w = win.select("item", "n", "window", "s", F.posexplode("s").alias("at", "shingle")).join(known.select("shingle", "sid"), "shingle").join(often, "sid", "left")
     w = w.groupBy("item", "window", "n").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "at", "sid")).alias("rare"), F.collect_list(F.struct("at", "sid")).alias("need"))
     w = cut(w.groupBy("window", "n").agg(F.first("rare").alias("rare"), F.first("need").alias("need"), F.sort_array(F.collect_set("item")).alias("items")).where("rare.times > 0").withColumn("wid", F.xxhash64("window")))
-    prefixes = shared(w.select("wid", "n", F.col("rare.sid").alias("sid"), F.col("rare.at").alias("at"), "need"), 2_000_000)
+    prefixes = shared(w.select("wid", "n", F.col("rare.sid").alias("sid"), F.col("rare.at").alias("at"), "need"))
     cand = matches.join(prefixes, "sid").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0")
     need = cand.select("doc_id", "_t", "wid", "n", "start", F.size("need").alias("k"), F.explode("need").alias("x")).select("doc_id", "_t", "wid", "n", "start", "k", (F.col("start") + F.col("x.at")).alias("pos"), F.col("x.sid").alias("sid"))
     m = matches.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2"), F.col("pos").alias("_p"), F.col("sid").alias("_s"))
@@ -72,7 +72,7 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     whole = need.join(m, same, "left_semi").groupBy("doc_id", "_t", "wid", "n", "start", "k").agg(F.count("*").alias("got")).where("got = k")
     whole = cut(whole.select("doc_id", "_t", "wid", "n", "start"))
     hit_words = whole.select("doc_id", "_t", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy("doc_id", "_t").agg(F.count("*").alias("n_hit"))
-    items = whole.select("doc_id", "_t", "wid").distinct().join(shared(w.select("wid", "items"), 2_000_000), "wid").select("doc_id", "_t", F.explode("items").alias("item"))
+    items = whole.select("doc_id", "_t", "wid").distinct().join(shared(w.select("wid", "items")), "wid").select("doc_id", "_t", F.explode("items").alias("item"))
     items = items.distinct().groupBy("doc_id", "_t").agg(F.sort_array(F.collect_list("item")).alias("items"))
     found = hit_words.join(items.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2"), "items"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_t2"))).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2"), "n_hit", "items")
     counted = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.size(words(F.col("text"))).cast("long").alias("n_words"))

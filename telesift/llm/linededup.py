@@ -91,7 +91,7 @@ def removals(docs: DataFrame, rare: int = 20, several: int = 3, least_words: int
     hashes = F.transform(lines, lambda x: F.unhex(F.substring(F.md5(x), 1, 24)))
     per_doc = docs.where("doc_id is not null and text is not null").select("doc_id", hashes.alias("h"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("n"))
     twice = per_doc.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    per_doc = cut(per_doc.join(shared(twice, 100_000), "doc_id", "left_anti"))
+    per_doc = cut(per_doc.join(shared(twice), "doc_id", "left_anti"))
     seen = per_doc.select("doc_id", F.explode(F.arrays_zip("h", "n")).alias("z")).select("doc_id", "z.h", "z.n")
     owners = seen.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
     pairs = seen.join(owners, "h").where("owner < doc_id").groupBy("owner", "doc_id").agg(F.sum("n").alias("n"))

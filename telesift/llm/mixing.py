@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rank = key / (1 + key)
 
     def placed(df: DataFrame) -> DataFrame:
-        e = shared(expected.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), "source_size", "target", "_m"), 100_000)
+        e = shared(expected.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), "source_size", "target", "_m"))
         df = df.join(e, df["source"].eqNullSafe(e["_s"]) & (df["_class"] == e["_c"]), "left").drop("_s", "_c")
         return df.withColumn("_rank", rank).withColumn("_b1", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)).cast("int")).withColumn("_b2", F.least(F.floor((F.col("_rank") * BINS - F.col("_b1")) * BINS), F.lit(BINS - 1)).cast("int"))
 
@@ -103,14 +103,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         hit = (offset + F.col("_before") <= F.col("_need")) & (offset + F.col("_before") + F.col("_words") > F.col("_need"))
         return g.where(hit).select("source", *bins, (offset + F.col("_before")).alias("_sum"), "_need")
 
-    needs = shared(need, 100_000)
+    needs = shared(need)
     first = running(ranked, ["_b1"], ["_b1"])
     first = cut(crossing(first.join(needs, F.col("source").eqNullSafe(F.col("_s"))), F.lit(0), ["_b1"]))
-    f = shared(first.select(F.col("source").alias("_s"), F.col("_b1").alias("_x1"), "_sum", "_need"), 100_000)
+    f = shared(first.select(F.col("source").alias("_s"), F.col("_b1").alias("_x1"), "_sum", "_need"))
     inside = ranked.join(f, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b1") == F.col("_x1")))
     second = running(inside, ["_b2", "_sum", "_need", "_b1"], ["_b2"])
     second = cut(crossing(second, F.col("_sum"), ["_b1", "_b2"]))
-    f = shared(second.select(F.col("source").alias("_s"), F.col("_b1").alias("_x1"), F.col("_b2").alias("_x2"), "_sum", "_need"), 100_000)
+    f = shared(second.select(F.col("source").alias("_s"), F.col("_b1").alias("_x1"), F.col("_b2").alias("_x2"), "_sum", "_need"))
     inside = ranked.join(f, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b1") == F.col("_x1")) & (F.col("_b2") == F.col("_x2")))
     third = running(inside, ["_rank", "_sum", "_need"], ["_rank"])
     third = cut(crossing(third, F.col("_sum"), ["_rank"]).select(F.col("source").alias("_s"), F.col("_rank").alias("_cut"), (F.col("_need") - F.col("_sum")).alias("_gap")))
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     drawn = F.col("_rank").isNotNull() & (inside != changed)
     # the one document that brings a source nearest to its words goes in or out, a few times
     for _ in range(corrections):
-        t = shared(cuts, 100_000)
+        t = shared(cuts)
         delta = F.when(drawn, -F.col("size")).otherwise(F.col("size"))
         open_ = ranked.join(t, F.col("source").eqNullSafe(F.col("_s"))).where("_cut is not null and _rank is not null and size > 0").where(~changed)
         best = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap") - delta).alias("miss"), F.col("_rank").alias("rank"), F.col("size").alias("size"), delta.alias("delta"), F.col("_gap").alias("gap"))).alias("_n"))
@@ -130,6 +130,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         cuts = cuts.join(best, F.col("_s").eqNullSafe(F.col("_s2")), "left")
         more = F.when(F.col("_n").isNotNull(), F.array_append("_changed", F.struct(F.col("_n.rank").alias("rank"), F.col("_n.size").alias("size")))).otherwise(F.col("_changed"))
         cuts = cut(cuts.select("_s", "_cut", (F.col("_gap") - F.coalesce("_n.delta", F.lit(0))).alias("_gap"), "_need", more.alias("_changed")))
-    out = placed(base).join(shared(cuts, 100_000), F.col("source").eqNullSafe(F.col("_s")), "left")
+    out = placed(base).join(shared(cuts), F.col("source").eqNullSafe(F.col("_s")), "left")
     copies = (F.floor("_m") + F.coalesce(drawn, F.lit(False)).cast("long")).cast("long")
     return out.select(*kept, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

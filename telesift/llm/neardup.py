@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, cut, joined, mix64, shared, slices, word_bounds, word_hashes
+from .common import FOLD, cut, joined, mix64, packed, shared, slices, word_bounds, word_hashes
 from .components import components
 
 #: Words of a k-mer.
@@ -194,8 +194,9 @@ def across(large: DataFrame, classes: DataFrame, text: DataFrame, sketch: DataFr
     in which every pair of members is compared that no earlier sketch brings together and whose classes are still apart.
     Before the alignment, pairs are ruled out by length and by an upper bound of their common words.
     """
-    named = large.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
-    named = cut(named)
+    # one row a document, with its buckets, learns the class
+    named = large.groupBy("rep").agg(F.collect_list(F.struct("bucket", "i")).alias("at")).join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    named = cut(named.select("rep", F.coalesce("component", "rep").alias("class"), F.inline("at")))
     mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
     rows = cut(named.join(mixed, "bucket"))
     size = rows.join(text.select(F.col("doc_id").alias("rep"), F.octet_length("words").alias("bytes")), "rep").groupBy("bucket")
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 40, p
     members = cut(bucket.join(size, "bucket"))
     # the texts are read again, but only those of documents that share a bucket with another
     wanted = members.select(F.col("rep").alias("_w")).distinct()
-    wanted = all_rows.join(shared(wanted, 1_000_000), F.col("doc_id") == F.col("_w"), "left_semi")
+    wanted = all_rows.join(shared(wanted), F.col("doc_id") == F.col("_w"), "left_semi")
     text = cut(word_table(wanted).groupBy("doc_id").agg(F.min("words").alias("words")))
     few = members.where(F.col("c") <= few_members).select("bucket", F.col("rep").alias("b"))
     pairs = few.join(few.withColumnRenamed("b", "a"), "bucket").where("a < b").select("a", "b")
@@ -282,5 +283,5 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 40, p
 
 def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: of each class the document with the smallest doc_id (all rows that have it)."""
-    away = near_duplicates(docs, similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("_d"))
-    return docs.join(away, F.col("doc_id") == F.col("_d"), "left_anti")
+    away = near_duplicates(docs.select("doc_id", "text"), similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("_d"))
+    return packed(docs).join(away, F.col("_row.doc_id") == F.col("_d"), "left_anti").select("_row.*")

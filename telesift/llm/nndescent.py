@@ -48,7 +48,7 @@ def start(vectors: DataFrame, n: int, k: int, trees: int, block: int, seed: int)
 
     codes = cut(vectors.select("id", "x").mapInPandas(code, "t int, code long, id long"))
     counts = codes.groupBy("t", "code").agg(F.count("*").alias("c")).select(F.col("t").alias("_t"), F.col("code").alias("_c"), F.ceil(F.col("c") / (2 * block)).alias("parts"))
-    spread = codes.join(shared(counts, 1_000_000), (F.col("t") == F.col("_t")) & (F.col("code") == F.col("_c")))
+    spread = codes.join(shared(counts), (F.col("t") == F.col("_t")) & (F.col("code") == F.col("_c")))
     spread = spread.select("t", "code", F.pmod(F.xxhash64("id", "t"), F.col("parts")).alias("part"), "id").join(vectors.select("id", "x"), "id")
 
     def near(g: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +100,7 @@ def enlarged(saturated: DataFrame, vectors: DataFrame, least: float, block: int
     and a group returns counts, not pairs.
     """
     size = saturated.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    m = saturated.join(shared(size, 1_000_000), "component").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    m = saturated.join(shared(size), "component").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     m = m.join(vectors, "id").select("component", "id", "x", "w", "blk", "nb")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     rows = m.select("*", other).select("component", F.col("blk").alias("i"), F.col("o").alias("j"), F.lit(True).alias("row"), "id", "x", "w")

@@ -99,7 +99,7 @@ def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-6, follow: float
         if name not in per_host.columns:
             per_host = per_host.withColumn(name, F.lit(0.0))
     per_host = cut(per_host.select(F.col("host").alias("_h"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
-    out = p.join(shared(per_host, 200_000), F.col("_host") == F.col("_h"), "left")
+    out = p.join(shared(per_host), F.col("_host") == F.col("_h"), "left")
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     blocked = d > most * (t + d)
     return out.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), t.alias("trust"), d.alias("distrust"), F.coalesce("_verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
