@@ -33,6 +33,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         edges = done
         now = seen.get["n"], seen.get["h"]
         if now == mark:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+            own = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))
+            return own.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
         mark = now
     raise RuntimeError(f"components are not complete after {most_rounds} rounds")

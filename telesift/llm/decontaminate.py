@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared, words
+from .common import cut, packed, shared, words
 
 #: Words of a shingle.  Items of fewer words have one shingle of all their words.
 SHINGLE = 3
@@ -35,7 +35,7 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     fixes where the window would start and end, which must lie inside the document; then every other shingle of the
     window must stand at its own place, which compares words, not hashes.
 
-    A null text has no words; a null item text is no item; items without words are ignored.  Rows are matched by
+    A null text has no words; a null item text is no item, nor is an item with a null id; items without words are ignored.  Rows are matched by
     doc_id and a hash of the text, so rows that share a doc_id do not mix, and equal rows get equal results.
     """
     spark = docs.sparkSession
@@ -81,6 +81,10 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """The rows of docs that hold no benchmark window."""
-    bad = find(docs, benchmark, length).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t2")), "left_anti")
+    """The rows of docs that hold no benchmark window, with all their columns.
+
+    Null and empty texts hold none and stay, as do all rows without an item to find; repeated rows share their fate, and
+    rows that share a doc_id are told apart by their text.
+    """
+    bad = find(docs.select("doc_id", "text"), benchmark, length).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_t2")).distinct()
+    return packed(docs).join(bad, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("_row.text") == F.col("_t2")), "left_anti").select("_row.*")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared
+from .common import cut, packed, shared
 
 #: What is cut from the ends of a line before it is compared.
 BLANK = " \t\r\f\v\u00a0\u3000"
@@ -78,25 +78,48 @@ def blocks(aligned: list[tuple[int, int]], weights: list[int], least: int) -> li
     return out
 
 
-def removals(docs: DataFrame, rare: int = 20, several: int = 3, least_words: int = 5) -> DataFrame:
+def windows(h: Column, n: Column, least_words: int) -> Column:
+    """Hashes of the shortest runs of consecutive lines with least_words words: from each line on, and up to each line.
+
+    h, n: hashes and word counts of the lines.  A block of least_words words is covered by such runs of its own lines.
+    """
+
+    def run(step: int, i: Column) -> Column:
+        """The run that starts (step 1) or ends (step -1) at line i; every line has a word at least."""
+        total, out = F.lit(0), []
+        for k in range(least_words):
+            total = total + F.get(n, i + step * k)
+            out.append((total >= least_words, k + 1))
+        found = F.lit(None).cast("long")
+        for enough, size in reversed(out):
+            first = i if step > 0 else i - (size - 1)
+            found = F.when(enough, F.xxhash64(F.slice(h, first + 1, size))).otherwise(found)
+        return found
+
+    # a run of one line is found from its line on
+    ends = F.transform(n, lambda c, i: F.when(c < least_words, run(-1, i)))
+    both = F.concat(F.transform(n, lambda c, i: run(1, i)), ends)
+    return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
+
+
+def removals(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """(doc_id, lines): the places of the lines to delete from each document, blank lines not counted.
 
-    A line's owner is the first document that has it (smallest doc_id), so a line that n documents share makes n - 1
-    pairs, never n * n.  Pairs of an owner and a later document are aligned by patience diff on the hashes of all their
-    lines, which are a small part of the texts.  Only pairs that cannot have a block of `least_words` are left out: a
-    line of both has an owner no later than this one, so the lines of the later document with such owners are a bound.
-    `rare` and `several` once bounded the pairs; they have no effect and stand for callers that give them.
+    Documents overlap if they share a run of consecutive lines with least_words words, the least that may be removed.
+    The first document with a run (smallest doc_id) owns it, so a run that n documents share makes n - 1 pairs, never
+    n * n, and none is left out for how frequent it is.  Each block that two documents share consists of such runs, and
+    each of them has an owner that is no later than the earlier of the two.  Pairs of an owner and a later document are
+    aligned by patience diff on the hashes of all their lines, which are a small part of the texts.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
     hashes = F.transform(lines, lambda x: F.unhex(F.substring(F.md5(x), 1, 24)))
     per_doc = docs.where("doc_id is not null and text is not null").select("doc_id", hashes.alias("h"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("n"))
     twice = per_doc.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     per_doc = cut(per_doc.join(shared(twice), "doc_id", "left_anti"))
-    seen = per_doc.select("doc_id", F.explode(F.arrays_zip("h", "n")).alias("z")).select("doc_id", "z.h", "z.n")
-    owners = seen.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
-    pairs = seen.join(owners, "h").where("owner < doc_id").groupBy("owner", "doc_id").agg(F.sum("n").alias("n"))
-    bound = F.sum("n").over(Window.partitionBy("doc_id").orderBy("owner"))
-    pairs = pairs.withColumn("bound", bound).where(F.col("bound") >= least_words).select("owner", "doc_id")
+    seen = per_doc.select("doc_id", F.explode(windows(F.col("h"), F.col("n"), least_words)).alias("w"))
+    # both sides of the joins are plain shuffles, so that Spark splits the rows of a frequent run or of one owner
+    owners = cut(seen.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner"))
+    pairs = cut(seen.join(owners, "w").where("owner < doc_id").select("owner", "doc_id").distinct())
     first = per_doc.select(F.col("doc_id").alias("owner"), F.col("h").alias("a"))
     both = pairs.join(first, "owner").join(per_doc.select("doc_id", F.col("h").alias("b"), "n"), "doc_id").select("doc_id", "a", "b", "n")
 
@@ -112,19 +135,20 @@ def removals(docs: DataFrame, rare: int = 20, several: int = 3, least_words: int
     return got.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, rare: int = 20, several: int = 3, least_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """docs with text cut down, n_lines and n_removed (lines that are not blank).
 
     Deletes from the later of two overlapping documents every aligned common block of `least_words` words or more.
     The first document keeps its lines, so each text stays somewhere; a document that is a copy is left with an empty
-    text, not dropped.  Lines are compared without white space at their ends.  Null texts and rows with a null doc_id
-    are left as they are.  Rows that share a doc_id are not
-    judged at all and lose nothing.
+    text, not dropped.  Lines are compared without white space at their ends.  Null and empty texts and rows with a null
+    doc_id are left as they are.  Rows that share a doc_id, repeated rows among them, have no order: they are not judged
+    and lose nothing.  Very long texts are aligned whole, by the hashes of their lines.  Columns of docs named n_lines
+    or n_removed are replaced, all others stay.
     """
     new = ("n_lines", "n_removed")
     kept = [c for c in docs.columns if c not in new]
-    gone = removals(docs, rare, several, least_words).select(F.col("doc_id").alias("_d"), F.col("lines").alias("_gone"))
-    d = docs.select(*kept).join(gone, F.col("doc_id") == F.col("_d"), "left")
+    gone = removals(docs.select("doc_id", "text"), least_words).select(F.col("doc_id").alias("_d"), F.col("lines").alias("_gone"))
+    d = packed(docs, new).join(gone, F.col("_row.doc_id") == F.col("_d"), "left").select("_row", F.col("_row.text").alias("text"), "_gone")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -144,6 +168,6 @@ def dedup_lines(docs: DataFrame, rare: int = 20, several: int = 3, least_words:
         return pd.Series(out, dtype=object)
 
     left = F.when(F.col("_gone").isNotNull(), rest(F.when(F.col("_gone").isNotNull(), F.col("text")), "_gone")).otherwise(F.col("text"))
-    cols = [left.alias("text") if c == "text" else F.col(c) for c in kept]
+    cols = [left.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in kept]
     counted = F.coalesce(F.regexp_count("text", F.lit(rf"[^\n{BLANK}][^\n]*")), F.lit(0)).cast("long")
     return d.select(*cols, counted.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

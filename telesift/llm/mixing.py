@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared
+from .common import cut, packed, shared
 
 #: Between two words of a text, as far as sizes go.
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -64,12 +64,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     The running sum goes over BINS bins of the rank, then BINS bins inside the bin where it ends, then over the rows
     of that last bin: no task holds a source.  Rows equal in all columns rank alike and are taken or left together.
-    A null text has size 0; sources of size 0 take nothing; null is a source of its own.  Columns of docs that have
-    one of the new names are replaced.
+    A null or empty text has size 0; sources of size 0 take nothing; null is a source of its own.  A very long text is
+    one document like others, taken whole or not.  Columns of docs that have one of the new names are replaced, all
+    others stay.
     """
     new = ("size", "source_size", "target", "copies", "taken")
-    kept = [c for c in docs.columns if c not in new]
-    base = docs.select(*kept, size_of(F.col("text")).alias("size"))
+    base = packed(docs, new).select("_row", "_row.doc_id", "_row.text", "_row.source", size_of(F.col("_row.text")).alias("size"))
     base = base.withColumn("_u", (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52))
     base = base.withColumn("_class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int"))
     narrow = cut(base.select("source", "size", "_u", "_class"))
@@ -132,4 +132,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         cuts = cut(cuts.select("_s", "_cut", (F.col("_gap") - F.coalesce("_n.delta", F.lit(0))).alias("_gap"), "_need", more.alias("_changed")))
     out = placed(base).join(shared(cuts), F.col("source").eqNullSafe(F.col("_s")), "left")
     copies = (F.floor("_m") + F.coalesce(drawn, F.lit(False)).cast("long")).cast("long")
-    return out.select(*kept, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("_row.*", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

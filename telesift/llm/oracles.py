@@ -33,25 +33,24 @@ def host(url: str) -> str:
     return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
 
 
-def op4(rounds: int = 10, follow: float = 0.85) -> str:
+def op4(terms: int = 150, follow: float = 0.85) -> str:
+    """Ranks as the sum of what arrives after 0, 1, 2 ... links, scaled to 1."""
     rules = ", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in RULES)
     link = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?((?:https?:)?//[^\"''\\s>]+)"
     out = [
-        f"""WITH rules(kind, h, p) AS (VALUES {rules}),
+        f"""WITH RECURSIVE rules(kind, h, p) AS (VALUES {rules}),
 pg AS (SELECT page_id, html, {host('url')} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(kind, length(h || p)) AS kind FROM pg, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
 judged AS (SELECT pg.*, rule, kind FROM pg LEFT JOIN fits USING (page_id)),
 hosts AS (SELECT host, count(*) FILTER (kind = 'allow') AS a, count(*) FILTER (kind = 'block') AS b FROM judged WHERE host <> '' GROUP BY host),
 found AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS u FROM pg),
-links AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END")} AS dst FROM found) x WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst)"""
+links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END")} AS dst FROM found) x WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst)"""
     ]
     for name, col, src, dst in (("t", "a", "src", "dst"), ("d", "b", "dst", "src")):
-        out.append(f"{name}e AS (SELECT {src} AS s, {dst} AS d, n / sum(n) OVER (PARTITION BY {src}) AS share FROM links)")
-        out.append(f"{name}s AS (SELECT host, {col} / CAST(sum({col}) OVER () AS DOUBLE) AS seed FROM hosts WHERE {col} > 0)")
-        out.append(f"{name}0 AS MATERIALIZED (SELECT host, seed AS rank FROM {name}s)")
-        for i in range(rounds):
-            out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT host, sum(x) AS rank FROM (SELECT d AS host, {follow} * share * rank AS x FROM {name}e JOIN {name}{i} ON host = s UNION ALL SELECT host, (1 - {follow}) * seed FROM {name}s) m GROUP BY host)")
-    return ",\n".join(out) + f" SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN coalesce(d.rank, 0) > 0.5 * (coalesce(t.rank, 0) + coalesce(d.rank, 0)) THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN t{rounds} t USING (host) LEFT JOIN d{rounds} d USING (host)"
+        out.append(f"{name}e AS MATERIALIZED (SELECT {src} AS s, {dst} AS d, n / sum(n) OVER (PARTITION BY {src}) AS share FROM links)")
+        out.append(f"{name}x(i, host, x) AS (SELECT 0, host, {col} / CAST(sum({col}) OVER () AS DOUBLE) FROM hosts WHERE {col} > 0 UNION ALL SELECT i + 1, d, sum({follow} * share * x) FROM {name}x JOIN {name}e ON host = s WHERE i < {terms} GROUP BY i, d)")
+        out.append(f"{name} AS (SELECT host, sum(x) / sum(sum(x)) OVER () AS rank FROM {name}x GROUP BY host)")
+    return ",\n".join(out) + " SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN coalesce(d.rank, 0) > 0.5 * (coalesce(t.rank, 0) + coalesce(d.rank, 0)) THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN t USING (host) LEFT JOIN d USING (host)"
 
 
 OP7 = f"""

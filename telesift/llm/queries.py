@@ -33,7 +33,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), split_by_density=True)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), split=True)
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "p_toxic", (F.col("p_toxic") > 0.5).alias("toxic"))
 
 

@@ -34,14 +34,15 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -500, 500)))
 
 
-def fit_cumulative(indices: np.ndarray, row: np.ndarray, grade: np.ndarray, n_features: int, grades: int, rounds: int = 400, rate: float = 0.08, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(indices: np.ndarray, row: np.ndarray, grade: np.ndarray, n_features: int, grades: int, rounds: int = 400, rate: float = 0.08, l2: float = 1e-3, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds that maximise the penalised likelihood.
 
-    indices, row: feature and row of each entry of a binary sparse matrix.  The thresholds are a first value and
+    indices, row: feature and row of each entry of a binary sparse matrix; weight: of each row.  The thresholds are a first value and
     positive gaps, so they stay in order.  The gradient steps are Adam's.
     """
     n, k = len(grade), grades - 1
-    share = np.clip([(grade > t).mean() for t in range(k)], 1e-3, 1 - 1e-3)
+    weight = np.ones(n) if weight is None else weight
+    share = np.clip([weight[grade > t].sum() / weight.sum() for t in range(k)], 1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)
     gaps = np.maximum(np.diff(start), 0.05)
     p = np.concatenate([np.zeros(n_features), start[:1], np.log(np.expm1(gaps))])
@@ -55,14 +56,15 @@ def fit_cumulative(indices: np.ndarray, row: np.ndarray, grade: np.ndarray, n_fe
         take = np.arange(n)
         prob = np.maximum(s[take, grade] - s[take, grade + 1], 1e-12)
         slope = s * (1 - s)
-        d_score = (slope[take, grade] - slope[take, grade + 1]) / prob
+        gain = weight / prob
+        d_score = (slope[take, grade] - slope[take, grade + 1]) * gain
         d_theta = np.zeros(k + 2)
-        np.add.at(d_theta, grade, -slope[take, grade] / prob)
-        np.add.at(d_theta, grade + 1, slope[take, grade + 1] / prob)
+        np.add.at(d_theta, grade, -slope[take, grade] * gain)
+        np.add.at(d_theta, grade + 1, slope[take, grade + 1] * gain)
         d_theta = d_theta[1:-1]
         tail = np.cumsum(d_theta[::-1])[::-1]
         g = np.concatenate([np.bincount(indices, weights=d_score[row], minlength=n_features), tail[:1], tail[1:] / (1 + np.exp(-raw))])
-        g = -g / n
+        g = -g / weight.sum()
         g[:n_features] += l2 * w
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
@@ -71,13 +73,14 @@ def fit_cumulative(indices: np.ndarray, row: np.ndarray, grade: np.ndarray, n_fe
     return p[:n_features], theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = 8000, vocabulary: int = 4096, split_by_density: bool = False) -> OrdinalModel | None:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = 16_000, vocabulary: int = 4096, least: float = 6.63, split: bool = False) -> OrdinalModel | None:
     """Fit on at most `sample` labelled rows (those with the smallest hash of doc_id) and `vocabulary` features.
 
     Both numbers bound what reaches the driver.  Features are those that differ most between grade 0 and higher
-    grades by the log-likelihood ratio; words that tell nothing get no weight, so long texts do not drift.  With
-    split_by_density, a 0/1 grade becomes 0, 1, 2: labelled rows whose telling features are denser than the median
-    are the severe ones.  Rows with a null label or doc_id are not used.  None if there are not two grades.
+    grades by the log-likelihood ratio, more than `least` (6.63 is a chance of 0.01 for each); words that tell nothing
+    get no weight, so long texts do not drift.  With
+    split, a 0/1 grade becomes 0, 1, 2: a first fit scores the labelled rows, and of grade 1 those that score above the
+    median are the severe ones.  Rows with a null label or doc_id are not used.  None if there are not two grades.
     """
     chosen = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(grade).cast("int")).alias("_grade"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -101,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int =
         outside = F.when(k < n, (n - k) * F.log((n - k) / F.greatest(n * (1 - share), F.lit(1e-9)))).otherwise(0.0)
         return inside + outside
 
-    top = counts.where(F.col("a") + F.col("b") >= 2).withColumn("llr", 2 * (part("a", n0) + part("b", n1))).where("llr > 6.63").orderBy(F.desc("llr"), "feature").limit(vocabulary).collect()
+    top = counts.where(F.col("a") + F.col("b") >= 2).withColumn("llr", 2 * (part("a", n0) + part("b", n1))).where(F.col("llr") > least).orderBy(F.desc("llr"), "feature").limit(vocabulary).collect()
     names = [r["feature"] for r in top]
     if not names:
         return None
@@ -114,22 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int =
 
     data = rows.mapInPandas(coded, "doc_id long, _grade int, hits array<int>, n int").orderBy("doc_id", "n").toPandas()
     y = data["_grade"].to_numpy().astype(int)
-    if split_by_density:
-        toxic_side = np.array([r["b"] / n1 > r["a"] / max(n0, 1.0) for r in top])
-        density = np.array([toxic_side[np.asarray(h, dtype=int)].sum() / max(n, 1) for h, n in zip(data["hits"], data["n"], strict=True)])
-        y = np.where(y > 0, 1 + (density > np.median(density[y > 0])), 0)
-    levels, y = np.unique(y, return_inverse=True)
     indices = np.fromiter(chain.from_iterable(data["hits"]), dtype=np.int64)
     row = np.repeat(np.arange(len(data)), [len(h) for h in data["hits"]])
-    weights, theta = fit_cumulative(indices, row, y, len(names), len(levels))
+    # rare grades count for more, by the root of their rarity, so that fewer of them are missed
+    rare = np.where(y > 0, np.sqrt(max(n0, 1.0) / n1), 1.0)
+    levels, y = np.unique(y, return_inverse=True)
+    weights, theta = fit_cumulative(indices, row, y, len(names), len(levels), weight=rare)
+    if split and len(levels) == 2:
+        strong = np.bincount(row, weights=weights[indices], minlength=len(y))
+        y = np.where(y > 0, 1 + (strong > np.median(strong[y > 0])), 0)
+        if y.max() > 1:
+            weights, theta = fit_cumulative(indices, row, y, len(names), 3, weight=rare)
     return OrdinalModel({w: float(x) for w, x in zip(names, weights, strict=True) if x}, theta)
 
 
 def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     """docs with `severity` (expected grade), `grade` (most likely one) and `p_toxic` (that it is above 0).
 
-    One pass with no shuffle; whole texts are read.  A null or empty text has no features, so it gets the base rate.
-    Without a model all three are 0.  The model holds at most `vocabulary` features.
+    One pass with no shuffle; whole texts are read, however long.  A null or empty text has no features, so it gets the
+    base rate.  Each row is scored for itself, so repeated rows score alike; of equally likely grades the lower one
+    counts.  Without a model all three are 0.  The model holds at most `vocabulary` features.  Columns of docs that have
+    one of the new names are replaced.
     """
     schema = "severity double, grade int, p_toxic double"
     kept = [c for c in docs.columns if c not in ("severity", "grade", "p_toxic")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, drop, shared
+from .common import LOWER, UPPER, cut, drop, packed, shared
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -41,9 +41,10 @@ def host_links(pages: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, follow: float = 0.85, cut_every: int = 5) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, seed summing to 1) over edges (src, dst, share).
 
-    share is the part of src's links that go to dst.  A host without links passes nothing on.  Contributions are
-    added up within tasks before they are shuffled, so a host that everyone links to is one row per task.  Goes on
-    until `cut_every` rounds reach no further host and change the ranks by `tolerance` or less in sum.
+    share is the part of src's links that go to dst.  The rank of a host without links goes back to the seeds: that
+    solution is the one in which it is lost, scaled to a sum of 1.  Contributions are added up within tasks before they
+    are shuffled, so a host that everyone links to is one row per task.  Goes on until `cut_every` rounds reach no
+    further host and change the ranks by `tolerance` or less in sum.
     """
     rank = cut(seeds.select("host", F.col("seed").alias("rank")))
     while True:
@@ -58,7 +59,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, follow
         found = both.agg(F.count(F.when(F.col("was").isNull(), 1)).alias("new"), F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))).alias("change")).first()
         drop(last)
         if not found["new"] and (found["change"] or 0) <= tolerance:
-            return rank
+            total = rank.agg(F.sum("rank").alias("t")).first()["t"]
+            return rank.withColumn("rank", F.col("rank") / F.lit(total or 1.0))
 
 
 def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-6, follow: float = 0.85, most: float = 0.5) -> DataFrame:
@@ -67,12 +69,13 @@ def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-6, follow: float
     A rule's verdict stands.  Other pages go by their host: trust starts at hosts in proportion to their pages that
     rules allow and follows links; distrust starts likewise at blocked pages and follows links backwards, to those
     that link there.  A host is blocked if distrust is more than `most` of the two; without any of both it is allowed.
-    A null url or one without :// has an empty host, which takes part in nothing.  Null html has no links.  Columns of
-    pages that have one of the new names are replaced.
+    A null url or one without :// has an empty host, which takes part in nothing.  Null html has no links.  Very long
+    pages are read whole.  Repeated rows count as pages of their own and get the same verdict.  Of rules that fit with
+    equal length the last in the order of (verdict, host, path) holds.  Columns of pages that have one of the new names
+    are replaced, all others stay.
     """
     new = ("host", "path", "rule", "trust", "distrust", "verdict")
-    kept = [c for c in pages.columns if c not in new]
-    p = pages.select(*kept, host_of(F.col("url")).alias("_host"), path_of(F.col("url")).alias("_path"))
+    p = packed(pages, new).select("_row", F.col("_row.html").alias("html"), host_of(F.col("_row.url")).alias("_host"), path_of(F.col("_row.url")).alias("_path"))
     rule, verdict = best_rule(F.col("_host"), F.col("_path"), rules)
     p = p.withColumns({"_rule": rule, "_verdict": verdict})
     hosts = cut(p.where("_host <> ''").groupBy("_host").agg(F.count(F.when(F.col("_verdict") == "allow", 1)).alias("a"), F.count(F.when(F.col("_verdict") == "block", 1)).alias("b")))
@@ -102,4 +105,4 @@ def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-6, follow: float
     out = p.join(shared(per_host), F.col("_host") == F.col("_h"), "left")
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     blocked = d > most * (t + d)
-    return out.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), t.alias("trust"), d.alias("distrust"), F.coalesce("_verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
+    return out.select("_row.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), t.alias("trust"), d.alias("distrust"), F.coalesce("_verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
