@@ -26,10 +26,17 @@ NOTICES = {
     "gpl": "under the terms of the gnu general public license",
     "mpl": "this source code form is subject to the terms of the mozilla public license",
     "reserved": "all rights reserved",
+    "lgpl": "under the terms of the gnu lesser general public license",
+    "agpl": "under the terms of the gnu affero general public license",
+    "isc": "permission to use, copy, modify, and/or distribute this software for any purpose",
+    "zlib": "this software is provided 'as-is', without any express or implied warranty",
+    "unlicense": "this is free and unencumbered software released into the public domain",
 }
 #: A notice may have one edit for this many of its characters.
 CHARS_PER_EDIT = 10
-BLANKS = bytes(0x20 if b in b"\t\n\v\f\r" else b for b in FOLD)
+#: White space, and what stands at the margin of a wrapped comment.
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+MARGIN = np.isin(np.arange(256), list(b" \t\n\v\f\r*#/|;>%"))
 SPLIT = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLLOWED = rb"(?![0-9a-z\x80-\xff])"
 
@@ -49,6 +56,30 @@ def occurrences(raw: bytes, piece: bytes) -> list[int]:
     return found
 
 
+def flowing(folded: bytes, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts without line breaks: the bytes, and where each of them stood.
+
+    A run of white space is one blank, and so is a run of white space and margin signs with a line break in it.  The
+    line feeds between texts stay.
+    """
+    data = np.frombuffer(folded, dtype=np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = MARGIN[data]
+    inside[starts[1:]] = 0
+    step = np.diff(inside)
+    begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    breaks, blanks = sums(data == 10), sums(SPACE[data])
+    soft = (breaks[end] > breaks[begin]) | (blanks[end] - blanks[begin] == end - begin)
+    edge = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(edge, begin[soft] + 1, 1)
+    np.add.at(edge, end[soft], -1)
+    keep = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+    out = data.copy()
+    out[begin[soft]] = 0x20
+    return out[keep].tobytes(), keep
+
+
 class Scanner:
     """Finds phrases and notices in a block of texts."""
 
@@ -67,15 +98,16 @@ class Scanner:
                 if not at or not (48 <= folded[at - 1] < 58 or 97 <= folded[at - 1] < 123 or folded[at - 1] >= 128):
                     yield label, at, m.end()
 
-    def fuzzy(self, folded: bytes, starts: np.ndarray) -> Iterator[tuple[int, str, int, int, int]]:
+    def fuzzy(self, folded: bytes, begins: np.ndarray) -> Iterator[tuple[int, str, int, int, int]]:
         """(row, label, first byte, last byte + 1, edits).  Seeds give windows, the regex library judges them."""
-        blank = folded.translate(BLANKS)
+        blank, place = flowing(folded, begins)
+        starts = np.searchsorted(place, begins).tolist()
         for label, notice, k, pieces, rule in self.notices:
             windows: set[tuple[int, int, int]] = set()
             for offset, piece in pieces:
                 for at in occurrences(blank, piece):
                     row = bisect_right(starts, at) - 1
-                    lo, hi = int(starts[row]), int(starts[row + 1]) - 1
+                    lo, hi = starts[row], starts[row + 1] - 1
                     if at + len(piece) <= hi:
                         windows.add((row, max(lo, at - offset - 4 * k), min(hi, at - offset + len(notice) + 4 * k)))
             seen: set[tuple[int, int, int]] = set()
@@ -85,10 +117,11 @@ class Scanner:
                 m = rule.search(text)
                 if m:
                     lead = a + len(text[: m.start()].encode()) - 2 * text[: m.start()].count("�")
-                    hit = (row, lead, lead + len(m.group().encode()))
+                    first, last = int(place[lead]), int(place[lead + len(m.group().encode()) - 1])
+                    hit = (row, first, last + 1)
                     if hit not in seen:
                         seen.add(hit)
-                        yield row, label, hit[1], hit[2], sum(m.fuzzy_counts)
+                        yield row, label, first, last + 1, sum(m.fuzzy_counts)
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, block: int = 8 << 20) -> DataFrame:
@@ -96,7 +129,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
 
     One pass over the texts with no shuffle.  start and end are code points of the text, word is the index of the
     first word; kind is `phrase` or `notice`.  score is 1 with a phrase or an exact notice, less by the share of
-    allowed edits that the best notice needs, 0 without hits.  Every place counts.  A null text is empty and has no
+    allowed edits that the best notice needs, 0 without hits.  Every place counts.  Notices are found across line breaks,
+    with the indents and comment signs at them; a span then holds these as well.  notices: short ones, a label each.  A null text is empty and has no
     hits; rows with the same doc_id are judged each for itself.  Texts are worked on in blocks of about `block` bytes.
     """
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
@@ -127,7 +161,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
                     if hi <= rows[row + 1] - 1:
                         add(row, label, "phrase", lo, hi, 0, 1.0)
                 limits = {label: k for label, _, k, _, _ in scanner.notices}
-                for row, label, lo, hi, edits in scanner.fuzzy(folded, rows):
+                for row, label, lo, hi, edits in scanner.fuzzy(folded, starts):
                     add(row, label, "notice", lo, hi, edits, 1.0 - edits / (limits[label] + 1))
                 yield pd.DataFrame({"doc_id": ids.iloc[a:b].to_numpy(), "n_words": np.diff(first), "hits": [sorted(h, key=lambda x: (x["start"], x["end"], x["kind"], x["label"])) for h in hits], "score": score}).astype({"doc_id": "Int64"})
 

@@ -78,6 +78,21 @@ def blocks(aligned: list[tuple[int, int]], weights: list[int], least: int) -> li
     return out
 
 
+def shared_lines(a: list, b: list, weights: list[int], least: int) -> list[int]:
+    """Places in b that lie in blocks of weight `least` or more aligned with a.
+
+    What an alignment leaves of b is aligned again, until no block is found: blocks that stand in another order in a
+    are shared as well.
+    """
+    out: set[int] = set()
+    while True:
+        rest = [i for i in range(len(b)) if i not in out]
+        found = blocks([(x, rest[y]) for x, y in patience(a, [b[i] for i in rest])], weights, least)
+        if not found:
+            return sorted(out)
+        out.update(found)
+
+
 def windows(h: Column, n: Column, least_words: int) -> Column:
     """Hashes of the shortest runs of consecutive lines with least_words words: from each line on, and up to each line.
 
@@ -127,7 +142,7 @@ def removals(docs: DataFrame, least_words: int = 5) -> DataFrame:
         for batch in batches:
             found = []
             for a, b, n in zip(batch["a"], batch["b"], batch["n"], strict=True):
-                found.append(blocks(patience([bytes(x) for x in a], [bytes(x) for x in b]), list(n), least_words))
+                found.append(shared_lines([bytes(x) for x in a], [bytes(x) for x in b], list(n), least_words))
             out = pd.DataFrame({"doc_id": batch["doc_id"], "line": found})
             yield out[out["line"].map(len) > 0]
 

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import cut, joined, mix64, slices
+from .common import cut, joined, mix64, packed, shared, slices
 
 #: Bytes of the k-grams by which windows find their shard.
 GRAM = 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Multiplier of the hashes of whole runs.
-RUN_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Multipliers of the hashes of whole runs.
+RUN_BASE, RUN_BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def power(base: np.uint64, n: int) -> np.uint64:
@@ -50,53 +50,93 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width and len(x) > width - size else x
 
 
+def cut_runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """The windows of `length` bytes of texts, in runs that share the place of their least gram of k bytes.
+
+    Arrays by run: number of the text, first byte, windows, hash of the gram, and two hashes of all bytes of the run.
+    Equal windows have equal grams wherever they stand.
+    """
+    width = length - k + 1
+    starts, data, _ = joined(texts)
+    none = np.zeros(0, np.int64)
+    if len(data) < length:
+        return none, none, none, none, none, none
+    gram = rolled(data, k, BASE)
+    bits = np.uint64(len(gram).bit_length())
+    # the least hash, by its upper bits, and of equal ones the first
+    least = sliding_min((gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64), width)
+    v = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    edge = np.zeros(len(v) + 2, dtype=np.int32)
+    whole = np.flatnonzero(np.diff(starts) - 1 >= length)
+    np.add.at(edge, starts[whole], 1)
+    np.add.at(edge, starts[whole + 1] - 1 - length + 1, -1)
+    valid = np.cumsum(edge)[: len(v)] > 0
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (v[1:] != v[:-1]) | ~valid[:-1]
+    new[starts[whole]] = True
+    begin = np.flatnonzero(new & valid)
+    stop = np.append(np.flatnonzero(new | ~valid), len(v))
+    n = stop[np.searchsorted(stop, begin, side="right")] - begin
+    hashes = []
+    with np.errstate(over="ignore"):
+        for base, salt in ((RUN_BASE, 7), (RUN_BASE_2, 29)):
+            # hash of a byte range from running sums of byte * base^place
+            inverse = np.uint64(pow(int(base), -1, 1 << 64))
+            p = np.cumprod(np.full(len(data), base), dtype=np.uint64)
+            q = np.cumprod(np.full(len(data), inverse), dtype=np.uint64)
+            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(data.astype(np.uint64) + np.uint64(salt)) * p, dtype=np.uint64)])
+            hashes.append(mix64((total[begin + n + length - 1] - total[begin]) * q[begin] + n.astype(np.uint64)).view(np.int64))
+    row = np.searchsorted(starts, begin, side="right") - 1
+    return row, begin - starts[row], n, gram[v[begin]].view(np.int64), *hashes
+
+
 def runs(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
-    """(v, doc_id, at, h): the windows of `length` bytes of each text, in runs that share the place of their least
-    k-gram, of hash v.
+    """(v, doc_id, at, h, g): runs of windows of each text, v the hash of their gram, by which shards are dealt out.
 
-    at is 256 * first byte + windows of the run, which has length - GRAM + 1 at most.  h is a hash of all bytes of the
-    run.  Equal windows have the same v wherever they stand, so v deals them out to shards.
+    at is 256 * first byte + windows of the run, which has length - GRAM + 1 at most.  h and g are independent 64-bit
+    hashes of all bytes of the run.
     """
-    width = length - GRAM + 1
 
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             ids = batch["doc_id"].to_numpy()
             for a, b in slices(np.array([len(t) for t in texts]), block):
-                starts, data, _ = joined(texts[a:b])
-                if len(data) < length:
-                    continue
-                gram = rolled(data, GRAM, BASE)
-                bits = np.uint64(len(gram).bit_length())
-                # the least hash, by its upper bits, and of equal ones the first
-                least = sliding_min((gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64), width)
-                v = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-                edge = np.zeros(len(v) + 2, dtype=np.int32)
-                whole = np.flatnonzero(np.diff(starts) - 1 >= length)
-                np.add.at(edge, starts[whole], 1)
-                np.add.at(edge, starts[whole + 1] - 1 - length + 1, -1)
-                valid = np.cumsum(edge)[: len(v)] > 0
-                new = np.ones(len(v), dtype=bool)
-                new[1:] = (v[1:] != v[:-1]) | ~valid[:-1]
-                new[starts[whole]] = True
-                begin = np.flatnonzero(new & valid)
-                if not len(begin):
-                    continue
-                stop = np.append(np.flatnonzero(new | ~valid), len(v))
-                n = stop[np.searchsorted(stop, begin, side="right")] - begin
-                with np.errstate(over="ignore"):
-                    # hash of a byte range from running sums of byte * base^place
-                    inverse = np.uint64(pow(int(RUN_BASE), -1, 1 << 64))
-                    p = np.cumprod(np.full(len(data), RUN_BASE), dtype=np.uint64)
-                    q = np.cumprod(np.full(len(data), inverse), dtype=np.uint64)
-                    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(data.astype(np.uint64) + np.uint64(7)) * p, dtype=np.uint64)])
-                    h = mix64((total[begin + n + length - 1] - total[begin]) * q[begin] + n.astype(np.uint64))
-                row = np.searchsorted(starts, begin, side="right") - 1
-                at = (begin - starts[row]) * 256 + n
-                yield pd.DataFrame({"v": gram[v[begin]].view(np.int64), "doc_id": ids[a:b][row], "at": at, "h": h.view(np.int64)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "v long, doc_id long, at long, h long")
+                row, place, n, v, h, g = cut_runs(texts[a:b], length, GRAM)
+                if len(row):
+                    yield pd.DataFrame({"v": v, "doc_id": ids[a:b][row], "at": place * 256 + n, "h": h, "g": g})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "v long, doc_id long, at long, h long, g long")
+
+
+def dealt_again(pieces: DataFrame, length: int, most_bytes: int) -> DataFrame:
+    """pieces (v, doc_id, at, piece) with no group of one v above most_bytes, as far as longer grams can tell.
+
+    The pieces of a larger group are cut into runs once more, by grams of 60 and then of 90 bytes.  Equal windows have
+    the same longer grams too, so they still meet.
+    """
+    for k in (3 * length // 5, 9 * length // 10):
+        pieces = cut(pieces)
+        size = pieces.groupBy("v").agg(F.sum(F.octet_length("piece")).alias("bytes")).where(F.col("bytes") > most_bytes).select("v")
+        size = cut(size)
+        if size.isEmpty():
+            break
+
+        def again(batches, k=k):
+            for batch in batches:
+                raw = [bytes(x) for x in batch["piece"]]
+                row, place, n, v, _, _ = cut_runs(raw, length, k)
+                if len(row):
+                    with np.errstate(over="ignore"):
+                        old = batch["v"].to_numpy()[row].view(np.uint64)
+                        key = mix64(old * BASE + v.view(np.uint64)).view(np.int64)
+                    at = (batch["at"].to_numpy()[row] >> 8) + place
+                    part = [raw[r][a : a + c + length - 1] for r, a, c in zip(row.tolist(), place.tolist(), n.tolist(), strict=True)]
+                    yield pd.DataFrame({"v": key, "doc_id": batch["doc_id"].to_numpy()[row], "at": at * 256 + n, "piece": part})
+
+        large = pieces.join(shared(size), "v", "left_semi").mapInPandas(again, "v long, doc_id long, at long, piece binary")
+        pieces = pieces.join(shared(size), "v", "left_anti").unionByName(large)
+    return pieces
 
 
 class Shard:
@@ -166,7 +206,8 @@ def repeated_windows(pieces: DataFrame, length: int, shard_bytes: int = 2 << 20,
     """(doc_id, lo, hi) of windows of pieces (v, doc_id, at, piece) that stand earlier in another piece of the same v.
 
     Pieces come sorted by v within tasks, and the groups of v are gathered to shards of some megabytes.  A group is
-    never cut, so a shard may become as large as the largest group; its text, tuples and names then go to disk.
+    never cut, so a shard may become as large as the largest group; its text, tuples and names then go to files in the
+    task's own temporary folder, which no other task reads.
     """
 
     def run(batches):
@@ -189,7 +230,7 @@ def repeated_windows(pieces: DataFrame, length: int, shard_bytes: int = 2 << 20,
     return pieces.repartition("v").sortWithinPartitions("v").mapInPandas(run, "doc_id long, lo long, hi long")
 
 
-def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, most_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, spans): the byte ranges, joined and sorted, covered by a string of `length` bytes that starts earlier.
 
     docs: unique non-null doc_id, text.
@@ -199,14 +240,16 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     windows_of = F.col("at").bitwiseAND(F.lit(255))
     first_of = F.shiftright("at", 8)
     occ = runs(docs, length)
-    again = occ.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    # both sides of the joins are plain shuffles, so that Spark splits the rows of a frequent gram
+    again = cut(occ.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"))
     occ = cut(occ.join(again, "v", "left_semi"))
-    seg = cut(occ.groupBy("v", "h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c")).select("v", "h", F.col("f.doc_id").alias("fd"), F.col("f.at").alias("fa"), "c"))
-    # all but the first of equal runs go whole
-    copied = seg.where("c > 1").select("v", "h", "fd", "fa")
-    whole = occ.join(copied, ["v", "h"]).where("doc_id <> fd or at <> fa").select("doc_id", first_of.alias("lo"), (first_of + windows_of + length - 1).alias("hi"))
+    seg = occ.groupBy("v", "h", "g").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c"))
+    seg = cut(seg.select("v", "h", "g", F.col("f.doc_id").alias("fd"), F.col("f.at").alias("fa"), "c"))
+    # all but the first of equal runs go whole; runs count as equal if 192 bits of hashes agree
+    copied = seg.where("c > 1").select("v", "h", "g", "fd", "fa")
+    whole = occ.join(copied, ["v", "h", "g"]).where("doc_id <> fd or at <> fa").select("doc_id", first_of.alias("lo"), (first_of + windows_of + length - 1).alias("hi"))
     # different runs of one v may share some windows: their suffixes are sorted
-    several = seg.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v")
+    several = cut(seg.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v"))
     asked = seg.join(several, "v", "left_semi").groupBy("fd").agg(F.collect_list(F.struct("v", F.col("fa").alias("at"))).alias("asked"))
 
     def pieces(batches):
@@ -224,7 +267,7 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 yield pd.DataFrame(out, columns=["v", "doc_id", "at", "piece"])
 
     found = docs.join(asked, docs["doc_id"] == asked["fd"]).select("doc_id", "text", "asked").mapInPandas(pieces, "v long, doc_id long, at long, piece binary")
-    partly = repeated_windows(found, length)
+    partly = repeated_windows(dealt_again(found, length, most_bytes), length)
     return whole.unionByName(partly).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
@@ -233,11 +276,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id,
     or before in the same one.  Strings are judged on the input, and never cross documents.  A null text is empty.
-    Rows with a null doc_id, or that share a doc_id, have no place in the order: they are left whole, and nothing is
-    removed because of them.
+    Rows with a null doc_id, or that share a doc_id, repeated rows among them, have no place in the order: they are left
+    whole, and nothing is removed because of them.  Very long texts are worked on whole, in one task.  Columns of docs
+    that have one of the new names are replaced, all others stay.
     """
     new = ("kept", "n_bytes", "spans")
-    kept = [c for c in docs.columns if c not in new]
     once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"))
     twice = once.where("c > 1").select("doc_id")
     base = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -266,11 +309,12 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             joint.append(union)
         return pd.DataFrame({"kept": left, "spans": joint})
 
+    d = packed(docs, new).select("_row", F.col("_row.text").alias("text"), F.col("_row.doc_id").alias("doc_id"))
     # the same rows as above, so that the texts that were shuffled by doc_id there serve here as well
     there = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    d = docs.select(*kept).where(there).join(found, F.col("doc_id") == F.col("_d"), "left")
-    rest = docs.select(*kept).where(~there).select("*", F.lit(None).cast("long").alias("_d"), F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("_spans"))
+    rest = d.where(~there).select("*", F.lit(None).cast("long").alias("_d"), F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("_spans"))
+    d = d.where(there).join(found, F.col("doc_id") == F.col("_d"), "left")
     hit = F.col("_spans").isNotNull()
-    d = d.unionByName(rest).withColumn("_r", cut_out(F.when(hit, F.col("text")), "_spans"))
+    d = d.unionByName(rest).withColumn("_cut", cut_out(F.when(hit, F.col("text")), "_spans"))
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return d.select(*kept, F.when(hit, F.col("_r.kept")).otherwise(raw).alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), F.when(hit, F.col("_r.spans")).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("spans"))
+    return d.select("_row.*", F.when(hit, F.col("_cut.kept")).otherwise(raw).alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), F.when(hit, F.col("_cut.spans")).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("spans"))

@@ -189,7 +189,8 @@ def induce(text: np.ndarray, n: int, symbols: int, seeds: DiskQueue, most: int |
 
 def leftmost_smaller(text: np.ndarray, n: int, memory: int) -> np.ndarray:
     """Places that are smaller than their successor while the place before is larger (the end is smallest), ascending."""
-    found, after = [], False
+    found, sizes, after = None if n <= memory else tempfile.TemporaryFile(), [], False
+    held: list[np.ndarray] = []
     for b in range(n, 0, -BLOCK):
         a = max(0, b - BLOCK)
         x = np.asarray(text[a : min(b + 1, n)]).astype(np.int64)
@@ -199,12 +200,24 @@ def leftmost_smaller(text: np.ndarray, n: int, memory: int) -> np.ndarray:
         kind = np.full(b - a, after)
         kind[: change[-1] + 1 if len(change) else 0] = np.repeat(rise, np.diff(np.concatenate([[-1], change])))
         both = np.append(kind, after) if b < n else kind
-        found.append(a + 1 + np.flatnonzero(both[1:] & ~both[:-1]))
+        places = a + 1 + np.flatnonzero(both[1:] & ~both[:-1])
+        sizes.append(len(places))
+        if found is None:
+            held.append(places)
+        else:
+            found.write(places.astype(np.int64).tobytes())
         after = bool(kind[0])
-    out, at = room(sum(map(len, found)), np.int64, memory), 0
-    for x in reversed(found):
-        out[at : at + len(x)] = x
-        at += len(x)
+    # the last block was found first
+    out, at, end = room(sum(sizes), np.int64, memory), 0, 8 * sum(sizes)
+    for i in reversed(range(len(sizes))):
+        if found is None:
+            x = held[i]
+        else:
+            end -= 8 * sizes[i]
+            found.seek(end)
+            x = np.frombuffer(found.read(8 * sizes[i]), np.int64)
+        out[at : at + sizes[i]] = x
+        at += sizes[i]
     return out
 
 

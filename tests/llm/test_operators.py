@@ -64,6 +64,26 @@ def test_license_notices(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_wrapped(spark):
+    """Notices over several lines, in comments of several kinds; spans point into the text as it is."""
+    bsd = "Redistribution and use in source\n *   and binary forms"
+    mit = "Permission is hereby granted,\r\n# free of charge,\n#\n#\tto any person\n# obtaining a copy"
+    texts = {1: "/*\n * " + bsd + ", with\n */", 2: "é\n# " + mit, 3: "// this source code form is subject\n// to the terms of the\n// mozilla public license", 4: "a * b / c # redistribution and\nuse", 5: "all rights\n", 6: "reserved"}
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, list(texts.items())).coalesce(1)).collect()}
+    assert [h.label for h in got[1].hits] == ["bsd"] and got[1].score == 1.0
+    assert texts[1][got[1].hits[0].start : got[1].hits[0].end] == bsd
+    assert [h.label for h in got[2].hits] == ["mit"] and texts[2][got[2].hits[0].start : got[2].hits[0].end] == mit
+    assert [h.label for h in got[3].hits] == ["mpl"] and got[3].score == 1.0
+    assert not got[4].hits and not got[5].hits and not got[6].hits
+
+
+def test_flowing():
+    texts = [b"a  b", b"\n", b"", b"x\n\n", b" * y"]
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    out, place = licenses.flowing(b"\n".join([*texts, b""]), starts)
+    assert out == b"a b\n \n\nx \n * y\n" and len(place) == len(out)
+
+
 # 2
 
 
@@ -398,6 +418,8 @@ def test_patience():
     assert linededup.patience(list("aab"), list("aab")) == [(0, 0), (1, 1), (2, 2)]
     assert linededup.patience([], list("a")) == []
     assert linededup.blocks([(1, 1), (2, 2), (4, 3)], [1] * 9, 2) == [1, 2]
+    assert linededup.shared_lines(list("abxyc"), list("xyab"), [1] * 4, 2) == [0, 1, 2, 3]
+    assert linededup.shared_lines(list("ab"), list("axb"), [1] * 3, 2) == []
 
 
 def test_line_dedup(spark):
@@ -423,7 +445,7 @@ def brute_lines(rows, least=5):
     out = {}
     for b in cut_up:
         n = [len(re.findall(r"[^ \t\n\x0b\f\r]+", x)) for x in cut_up[b]]
-        out[b] = {y for a in cut_up if a < b and set(cut_up[a]) & set(cut_up[b]) for y in linededup.blocks(linededup.patience(cut_up[a], cut_up[b]), n, least)}
+        out[b] = {y for a in cut_up if a < b and set(cut_up[a]) & set(cut_up[b]) for y in linededup.shared_lines(cut_up[a], cut_up[b], n, least)}
     return out
 
 
@@ -432,7 +454,8 @@ def test_line_dedup_all_pairs(spark, sf):
     got = {r.doc_id: set(r.lines) for r in linededup.removals(docs(spark, rows)).collect()}
     want = {i: x for i, x in brute_lines(rows).items() if x}
     # a line that stands twice in a document may be aligned in one place with one partner and in the other with another
-    once = {i for i, t in rows if (t or "").count("\n") == len(set((t or "").split("\n"))) - 1}
+    lines = {i: [x.strip(linededup.BLANK) for x in (t or "").split("\n") if x.strip(linededup.BLANK)] for i, t in rows}
+    once = {i for i, x in lines.items() if len(x) == len(set(x))}
     assert {i: x for i, x in got.items() if i in once} == {i: x for i, x in want.items() if i in once}
     assert set(got) == set(want) and all(x <= want[i] for i, x in got.items()) and sum(map(len, got.values())) >= 0.95 * sum(map(len, want.values()))
 
@@ -591,6 +614,18 @@ def test_substrings(spark, n):
     assert substrings.remove_repeats(docs(spark, []), n).count() == 0
 
 
+def test_substrings_hot_gram(spark, monkeypatch):
+    """A boilerplate in many texts that differ around it: its group is dealt again by longer grams."""
+    rng = np.random.default_rng(31)
+    text = lambda k: "".join(rng.choice(list("abcdefgh "), k))
+    middle = text(140)
+    rows = [(i, text(30) + middle[: int(rng.integers(30, 140))] + text(60)) for i in range(60)] + [(100 + i, "q" * int(rng.integers(90, 300))) for i in range(10)]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in substrings.repeats(docs(spark, rows).select("doc_id", "text"), 100, most_bytes=300).collect()}
+    plain = {r.doc_id: [tuple(s) for s in r.spans] for r in substrings.repeats(docs(spark, rows).select("doc_id", "text"), 100).collect()}
+    covered = lambda x: {i: {b for lo, hi in s for b in range(lo, hi)} for i, s in x.items()}
+    assert covered(found) == covered(plain) and {i: len(b) for i, b in covered(found).items()} == {i: g for i, (_, g, _) in brute_repeats(rows, 100).items() if g}
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 3, 60])
 def test_suffixes(monkeypatch, symbols):
     """Small memory, small blocks and a small limit for doubling: everything goes through disk and recursion."""
