@@ -18,7 +18,7 @@ def shingles(found: Column, n: int) -> Column:
 
 def windows(benchmark: DataFrame, length: int) -> DataFrame:
     """(item, words): the distinct windows of `length` consecutive words of each item; a shorter item is one window."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("_w")).where("item is not null and size(_w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - length + 1, F.lit(1)))
     return b.select("item", F.explode(F.transform(starts, lambda i: F.slice("_w", i, length))).alias("words")).distinct()
 

@@ -282,6 +282,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 40, p
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """docs without near duplicates: of each class the document with the smallest doc_id (all rows that have it)."""
+    """docs without near duplicates: of each class the document with the smallest doc_id, with all rows that have it.
+
+    Null, empty and wordless texts are one class, so one document of them stays.  Rows with a null doc_id are not judged
+    and stay.  Rows that share a doc_id stay or go together.  All columns stay, whatever their names.
+    """
     away = near_duplicates(docs.select("doc_id", "text"), similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("_d"))
     return packed(docs).join(away, F.col("_row.doc_id") == F.col("_d"), "left_anti").select("_row.*")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5)
@@ -87,8 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int =
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def telling(batches):
-        for b in batches:
-            yield pd.DataFrame({"feature": [list(features(t)) for t in b["text"]], "_grade": b["_grade"], "doc_id": b["doc_id"]})
+        for whole in batches:
+            # features of a few texts at a time: their names are many times as large
+            for lo, hi in slices(whole["text"].str.len().fillna(0).to_numpy(), 1 << 19):
+                b = whole.iloc[lo:hi]
+                yield pd.DataFrame({"feature": [list(features(t)) for t in b["text"]], "_grade": b["_grade"], "doc_id": b["doc_id"]})
 
     found = rows.mapInPandas(telling, "feature array<string>, _grade int, doc_id long").select(F.explode("feature").alias("feature"), "_grade")
     per_grade = {r["_grade"]: r["n"] for r in rows.groupBy("_grade").agg(F.count("*").alias("n")).collect()}
@@ -113,9 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int =
     def coded(batches):
         for b in batches:
             hits = [sorted(place[f] for f in features(t) if f in place) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_grade": b["_grade"], "hits": hits, "n": [len(WORD.findall(t or "")) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "_grade": b["_grade"], "hits": hits})
 
-    data = rows.mapInPandas(coded, "doc_id long, _grade int, hits array<int>, n int").orderBy("doc_id", "n").toPandas()
+    data = rows.mapInPandas(coded, "doc_id long, _grade int, hits array<int>").orderBy("doc_id", "hits").toPandas()
     y = data["_grade"].to_numpy().astype(int)
     indices = np.fromiter(chain.from_iterable(data["hits"]), dtype=np.int64)
     row = np.repeat(np.arange(len(data)), [len(h) for h in data["hits"]])
