@@ -79,6 +79,17 @@ def packed(df: DataFrame, new: tuple[str, ...] = ()) -> DataFrame:
     return df.select(F.struct(*[c for c in df.columns if c not in new]).alias("_row"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     with np.errstate(over="ignore"):

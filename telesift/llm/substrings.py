@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import cut, joined, mix64, packed, shared, slices
+from .common import cut, joined, mix64, shared, slices, unused
 
 #: Bytes of the k-grams by which windows find their shard.
 GRAM = 24
@@ -50,17 +50,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width and len(x) > width - size else x
 
 
-def cut_runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+def cut_runs(texts: list[bytes], length: int, k: int, hashed: bool = False) -> tuple[np.ndarray, ...]:
     """The windows of `length` bytes of texts, in runs that share the place of their least gram of k bytes.
 
-    Arrays by run: number of the text, first byte, windows, hash of the gram, and two hashes of all bytes of the run.
-    Equal windows have equal grams wherever they stand.
+    Arrays by run: number of the text, first byte, windows, hash of the gram, and, if hashed, two hashes of all bytes of
+    the run.  Equal windows have equal grams wherever they stand.
     """
     width = length - k + 1
     starts, data, _ = joined(texts)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none, none
+        return (none,) * (6 if hashed else 4)
     gram = rolled(data, k, BASE)
     bits = np.uint64(len(gram).bit_length())
     # the least hash, by its upper bits, and of equal ones the first
@@ -77,7 +77,10 @@ def cut_runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(new & valid)
     stop = np.append(np.flatnonzero(new | ~valid), len(v))
     n = stop[np.searchsorted(stop, begin, side="right")] - begin
-    hashes = []
+    hashes: list[np.ndarray] = []
+    row = np.searchsorted(starts, begin, side="right") - 1
+    if not hashed:
+        return row, begin - starts[row], n, gram[v[begin]].view(np.int64)
     with np.errstate(over="ignore"):
         for base, salt in ((RUN_BASE, 7), (RUN_BASE_2, 29)):
             # hash of a byte range from running sums of byte * base^place
@@ -86,7 +89,6 @@ def cut_runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
             q = np.cumprod(np.full(len(data), inverse), dtype=np.uint64)
             total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(data.astype(np.uint64) + np.uint64(salt)) * p, dtype=np.uint64)])
             hashes.append(mix64((total[begin + n + length - 1] - total[begin]) * q[begin] + n.astype(np.uint64)).view(np.int64))
-    row = np.searchsorted(starts, begin, side="right") - 1
     return row, begin - starts[row], n, gram[v[begin]].view(np.int64), *hashes
 
 
@@ -102,13 +104,27 @@ def runs(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             ids = batch["doc_id"].to_numpy()
             for a, b in slices(np.array([len(t) for t in texts]), block):
-                row, place, n, v, h, g = cut_runs(texts[a:b], length, GRAM)
+                row, place, n, v, h, g = cut_runs(texts[a:b], length, GRAM, hashed=True)
                 if len(row):
                     yield pd.DataFrame({"v": v, "doc_id": ids[a:b][row], "at": place * 256 + n, "h": h, "g": g})
 
     return docs.select("doc_id", "text").mapInPandas(run, "v long, doc_id long, at long, h long, g long")
 
 
+def grams(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
+    """(v): the gram of each run, and nothing else of it."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
+            for a, b in slices(np.array([len(t) for t in texts]), block):
+                v = cut_runs(texts[a:b], length, GRAM)[3]
+                if len(v):
+                    yield pd.DataFrame({"v": v})
+
+    return docs.select("text").mapInPandas(run, "v long")
+
+
 def dealt_again(pieces: DataFrame, length: int, most_bytes: int) -> DataFrame:
     """pieces (v, doc_id, at, piece) with no group of one v above most_bytes, as far as longer grams can tell.
 
@@ -125,7 +141,7 @@ def dealt_again(pieces: DataFrame, length: int, most_bytes: int) -> DataFrame:
         def again(batches, k=k):
             for batch in batches:
                 raw = [bytes(x) for x in batch["piece"]]
-                row, place, n, v, _, _ = cut_runs(raw, length, k)
+                row, place, n, v = cut_runs(raw, length, k)
                 if len(row):
                     with np.errstate(over="ignore"):
                         old = batch["v"].to_numpy()[row].view(np.uint64)
@@ -241,7 +257,7 @@ def repeats(docs: DataFrame, length: int = 100, most_bytes: int = 64 << 20) -> D
     first_of = F.shiftright("at", 8)
     occ = runs(docs, length)
     # both sides of the joins are plain shuffles, so that Spark splits the rows of a frequent gram
-    again = cut(occ.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"))
+    again = cut(grams(docs, length).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"))
     occ = cut(occ.join(again, "v", "left_semi"))
     seg = occ.groupBy("v", "h", "g").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c"))
     seg = cut(seg.select("v", "h", "g", F.col("f.doc_id").alias("fd"), F.col("f.at").alias("fa"), "c"))
@@ -281,12 +297,14 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     that have one of the new names are replaced, all others stay.
     """
     new = ("kept", "n_bytes", "spans")
+    kept = [c for c in docs.columns if c not in new]
     once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"))
     twice = once.where("c > 1").select("doc_id")
     base = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     if not twice.isEmpty():
         base = base.join(twice, "doc_id", "left_anti")
-    found = repeats(base, length).select(F.col("doc_id").alias("_d"), F.col("spans").alias("_spans"))
+    d_, spans_, cut_ = unused(docs, "_d", "_spans", "_cut")
+    found = repeats(base, length).select(F.col("doc_id").alias(d_), F.col("spans").alias(spans_))
 
     @F.pandas_udf("kept binary, spans array<struct<lo:long,hi:long>>")
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -309,12 +327,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             joint.append(union)
         return pd.DataFrame({"kept": left, "spans": joint})
 
-    d = packed(docs, new).select("_row", F.col("_row.text").alias("text"), F.col("_row.doc_id").alias("doc_id"))
     # the same rows as above, so that the texts that were shuffled by doc_id there serve here as well
     there = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    rest = d.where(~there).select("*", F.lit(None).cast("long").alias("_d"), F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("_spans"))
-    d = d.where(there).join(found, F.col("doc_id") == F.col("_d"), "left")
-    hit = F.col("_spans").isNotNull()
-    d = d.unionByName(rest).withColumn("_cut", cut_out(F.when(hit, F.col("text")), "_spans"))
+    d = docs.select(*kept).where(there).join(found, F.col("doc_id") == F.col(d_), "left")
+    rest = docs.select(*kept).where(~there).select("*", F.lit(None).cast("long").alias(d_), F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias(spans_))
+    hit = F.col(spans_).isNotNull()
+    d = d.unionByName(rest).withColumn(cut_, cut_out(F.when(hit, F.col("text")), spans_))
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return d.select("_row.*", F.when(hit, F.col("_cut.kept")).otherwise(raw).alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), F.when(hit, F.col("_cut.spans")).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("spans"))
+    return d.select(*kept, F.when(hit, F.col(cut_)["kept"]).otherwise(raw).alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), F.when(hit, F.col(cut_)["spans"]).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("spans"))
