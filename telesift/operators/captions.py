@@ -98,11 +98,22 @@ def extract(packets: DataFrame) -> DataFrame:
 
 
 def store_pes(packets: DataFrame, target: str) -> DataFrame:
-    """Writes the caption PES of recordings as Parquet; a recording without any leaves no rows."""
-    demux_pes(packets, caption_pids(packets)).write.mode("append").partitionBy("path").parquet(target)
+    """Writes the caption PES of recordings as Parquet, one partition a recording, and returns what is stored there.
+
+    A recording that has some replaces what was stored for it; one without any leaves what is there.
+    """
+    demux_pes(packets, caption_pids(packets)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path").parquet(target)
     return packets.sparkSession.read.parquet(target)
 
 
+def regenerate(packets: DataFrame, target: str) -> DataFrame:
+    """(path, made) for each recording of packets: whether it has a caption stream, which is then stored anew."""
+    made = demux_pes(packets, caption_pids(packets))
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path").parquet(target)
+    has = made.select("path").distinct().withColumn("made", F.lit(True))
+    return packets.select("path").distinct().join(has, "path", "left").select("path", F.coalesce("made", F.lit(False)).alias("made"))
+
+
 def composite(tiles: list[tuple[int, int, np.ndarray]], width: int, height: int) -> np.ndarray:
     """Tiles (x, y, RGBA array) laid over each other on a clear canvas, cut at its edges; integer source-over blending."""
     canvas = np.zeros((height, width, 4), dtype=np.uint32)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.b24 import Decoder, extra_table
+from ..sources.ts import EIT_FALLBACK, EIT_PACKETS, PSI_PACKETS, START_PERCENT, scan
 
 PAT_PID, EIT_PID = 0, 0x12
 EPG = "path string, event_start timestamp_ntz, title string, episode_number int, last_episode int, series_name string, detail string"
@@ -83,7 +84,7 @@ def map_streams(section: bytes) -> list[tuple[int, bool]]:
     return out
 
 
-def programme_info(packets: DataFrame, most: int = 50_000) -> DataFrame:
+def programme_info(packets: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
     """(path, services, caption_pid) from the first `most` packets of each recording.
 
     The association table names the maps; of the private streams in the maps, those that a descriptor names as
@@ -201,6 +202,24 @@ def with_series(epg: DataFrame) -> DataFrame:
     return e.withColumns({"series_title": F.col("_s.series"), "sub_title": F.col("_s.subtitle"), "episode_number": F.coalesce("episode_number", "_s.episode")}).drop("_s")
 
 
+def extract_info(files: DataFrame, services: DataFrame) -> DataFrame:
+    """Event, series and air date of each recording of files (path, length, modified), in the windows of a scan.
+
+    services: (path, services) of programme_info.  Files above LARGE bytes are read from START_PERCENT of their length on,
+    EIT_PACKETS at most; where that finds no titled event, EIT_FALLBACK packets from the start count; else the file's time.
+    The paths name the byte ranges to read, so they are listed by the driver.
+    """
+    spark, paths = files.sparkSession, [r["path"] for r in files.select("path").collect()]
+
+    def events(**window) -> DataFrame:
+        packets = scan(spark, paths, pids=str(EIT_PID), **window)
+        return event_info(packets, services)
+
+    late = events(startPercent=str(START_PERCENT), maxPackets=str(EIT_PACKETS))
+    early = events(maxPackets=str(EIT_FALLBACK))
+    return with_series(recording_info(files, late, early))
+
+
 def recording_info(files: DataFrame, late: DataFrame, early: DataFrame) -> DataFrame:
     """Event of each file from a scan that starts late, else from one from the start, else unknown at the file's time."""
     fields = [c for c in late.columns if c != "path"]

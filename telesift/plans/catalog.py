@@ -400,6 +400,27 @@ def _(t):
     return t.raw["documents"].select("doc_id", F.size(tags).cast("long").alias("n"), F.array_join(tags, "|").alias("joined")).where("n > 0")
 
 
+@query("x8_empty_as_none_string", f"SELECT doc_id, nullif({trim("CASE doc_id % 4 WHEN 0 THEN '　 ' WHEN 1 THEN concat(' ', lang, '　') WHEN 2 THEN '' ELSE source END")}, '') AS value FROM documents")
+def _(t):
+    i = F.col("doc_id")
+    x = F.when(i % 4 == 0, "　 ").when(i % 4 == 1, F.concat(F.lit(" "), "lang", F.lit("　"))).when(i % 4 == 2, "").otherwise(F.col("source"))
+    return t.raw["documents"].select("doc_id", F.nullif(X.trim_u(x), F.lit("")).alias("value"))
+
+
+@query("x9_normalize_title", "SELECT doc_id, lower(concat(source, ' 123 ABC ', lang)) AS title FROM documents")
+def _(t):
+    return t.raw["documents"].select("doc_id", X.normalize_title(F.concat("source", F.lit("　１２３　ＡＢＣ "), "lang")).alias("title"))
+
+
+@query("x21_extract_pes_payload", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE hex(encode(CAST(o_orderkey AS VARCHAR))) END AS payload FROM orders")
+def _(t):
+    k = F.col("o_orderkey")
+    fill = F.repeat(F.lit("00"), (k % 5).cast("int"))
+    raw = F.unhex(F.concat(F.lit("000001BD00000000"), F.lpad(F.hex(k % 5), 2, "0"), fill, F.hex(F.encode(k.cast("string"), "utf-8"))))
+    raw = F.when(k % 5 == 4, F.substring(raw, F.lit(1), F.lit(13))).otherwise(raw)
+    return t.raw["orders"].select("o_orderkey", F.hex(packets.pes_payload(raw)).alias("payload"))
+
+
 @query("x10_resolve_program_key", "SELECT doc_id, CASE WHEN s <> '' THEN s WHEN ti <> '(unknown)' THEN ti ELSE '' END AS program_key FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS s, CASE doc_id % 4 WHEN 0 THEN '(unknown)' WHEN 1 THEN '' ELSE lang END AS ti FROM documents) x")
 def _(t):
     i = F.col("doc_id")
@@ -637,6 +658,41 @@ def _(t):
     return mutate.tags_of(mutate.delete_tag(mutate.add_tag(mutate.add_tag(t, 500000, " new tag ", spark), 500000, "new tag", spark), 500000, "quality"), 500000)
 
 
+@query("q1_claim_pending", "SELECT ts_file_id, CASE WHEN ts_file_id IN (SELECT ts_file_id FROM ts_files WHERE status = 'pending' ORDER BY ts_file_id LIMIT 3) THEN 'ingesting' ELSE status END AS status FROM ts_files")
+def _(t):
+    return mutate.start(t, mutate.claim(t.ts_files, 3)).ts_files.select("ts_file_id", "status")
+
+
+@query("q2_claim_regen", "SELECT ts_file_id, CAST(CASE WHEN r = 1 THEN 0 WHEN r IN (2, 3) THEN 2 ELSE pes_regen END AS INT) AS pes_regen FROM (SELECT ts_file_id, pes_regen, CASE WHEN pes_regen = 1 THEN row_number() OVER (PARTITION BY pes_regen ORDER BY ts_file_id) END AS r FROM ts_files) x")
+def _(t):
+    t = mutate.start_regen(t, mutate.claim_regen(t.ts_files, 3))
+    done = t.ts_files.where("pes_regen = 2 and ts_file_id % 50 = 3").orderBy("ts_file_id").limit(1).select("ts_file_id")
+    return mutate.finish_regen(t, done).ts_files.select("ts_file_id", "pes_regen")
+
+
+@query("l8_limit1_claim", "SELECT ts_file_id FROM ts_files WHERE status = 'pending' ORDER BY ts_file_id LIMIT 1")
+def _(t):
+    return mutate.claim(t.ts_files)
+
+
+@query("f13_glob_include_exclude", "SELECT path FROM ts_files WHERE path NOT LIKE '%7.ts' AND path LIKE '/rec/src%/%'")
+def _(t):
+    return mutate.by_globs(t.ts_files.select("path"), exclude=("**/*7.ts", "[broken"), include=("/rec/src*/*", "/none/*"))
+
+
+@query("t1_fts_maintain", f"SELECT gram, count(*) AS n FROM (SELECT DISTINCT caption_id, substr({fold('text')}, i, 3) AS gram FROM (SELECT caption_id, text, unnest(range(1, greatest(length(text) - 1, 1))) AS i FROM captions WHERE caption_id % 7 <> 1) x) y GROUP BY gram")
+def _(t):
+    first, second = t.captions.where("caption_id % 7 < 3"), t.captions.where("caption_id % 7 >= 3")
+    index = trigram.maintain(trigram.build(first), second, t.captions.where("caption_id % 7 = 1"))
+    return index.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("w5_frame_no", "SELECT caption_id, n, frame FROM (SELECT caption_id, unnest(range(0, 3)) AS n FROM thumbnails) x JOIN (VALUES (0, 'f_1.jpg'), (1, 'f_2.jpg'), (2, 'f_3.jpg')) v(k, frame) ON k = n")
+def _(t):
+    files = F.array(*[F.lit(f"f_{i}.jpg") for i in (1, 2, 3)])
+    return t.thumbnails.select("caption_id", F.inline(timeline.numbered(files))).select("caption_id", F.col("n").cast("long").alias("n"), F.col("file").alias("frame"))
+
+
 # the API
 
 @query("e1_index_programs", "SELECT program_id, title FROM programs p WHERE EXISTS (SELECT 1 FROM ts_files f JOIN captions c USING (ts_file_id) WHERE f.program_id = p.program_id) ORDER BY title, program_id")

@@ -42,9 +42,18 @@ def load(spark: SparkSession, path: str) -> Tables:
 
 
 def store(tables: Tables, path: str) -> None:
-    """Captions first, so that no file is seen as done before its captions are there."""
+    """A snapshot in a new folder.  Captions first, so that no file is seen as done before its captions are there."""
     for name in ("captions", "tags", "thumbnails", "programs", "ts_files"):
-        getattr(tables, name).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+        getattr(tables, name).write.mode("errorifexists").parquet(f"{path}/{name}.parquet")
+
+
+def append_captions(captions: DataFrame, path: str) -> None:
+    """Captions of some files into the table at path, one partition a file.
+
+    A file's captions appear as a whole when the job commits, or not at all; captions that it had before are replaced,
+    so a repeat after a failure changes nothing.  Files that captions does not name are not touched.
+    """
+    captions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts_file_id").parquet(path)
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Tables:

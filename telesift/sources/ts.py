@@ -11,7 +11,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PACKET = 188
 SCHEMA = "path string, pkt_no long, pid int, pusi boolean, afc int, payload binary"
-PSI_PACKETS, EIT_PACKETS, EIT_FALLBACK, LARGE = 50_000, 600_000, 300_000, 500_000
+#: Windows of a recording: packets with the programme map, with events from a late start, and from the beginning.
+PSI_PACKETS, EIT_PACKETS, EIT_FALLBACK, LARGE, START_PERCENT = 50_000, 600_000, 300_000, 500_000, 20
 
 
 def listing(spark: SparkSession, mount: str, pattern: str = "*.ts") -> DataFrame:

@@ -218,6 +218,98 @@ def test_captions(spark, tmp_path):
     assert stored.count() == 3
 
 
+def recording(tmp_path, name):
+    data = section(0x4E, 1, event(b"\x1b\x28\x42AB #7 part"))
+    parts = sec(0, pat((1, PMT))) + sec(PMT, pmt(1, (0x06, CAPTION, NAMED))) + sec(0x12, data)
+    for pts, text in ((90000, b"\x1b\x28\x42\x0fone"), (270000, b"\x1b\x28\x42\x0ftwo")):
+        parts += whole(CAPTION, pes(pts, statement(text)))
+    return write(tmp_path, name, parts)
+
+
+def test_regenerate(spark, tmp_path):
+    """Streams are stored anew without repeats; a recording without one says so and changes nothing."""
+    good = recording(tmp_path, "h.ts")
+    none = write(tmp_path, "i.ts", sec(0, pat((1, PMT))))
+    target = str(tmp_path / "blobs")
+    for _ in range(2):
+        got = captions.regenerate(ts.scan(spark, [good, none]), target)
+        assert {r.path: r.made for r in got.collect()} == {good: True, none: False}
+        assert spark.read.parquet(target).count() == 2
+    assert captions.store_pes(ts.scan(spark, [none]), target).count() == 2
+
+
+def test_extract_info(spark, tmp_path):
+    """The event after the late start wins; where there is none, one from the start; else the file's time."""
+    filler = [packet(0x1F0, b"x" * 150)] * 3000
+    early, late = (section(0x4E, 1, event(b"\x1b\x28\x42" + t)) for t in (b"early", b"late #2"))
+    both = write(tmp_path, "both.ts", [*sec(0x12, early), *filler, *sec(0x12, late)])
+    one = write(tmp_path, "one.ts", [*sec(0x12, early), *filler])
+    unknown = write(tmp_path, "none.ts", filler)
+    services = spark.createDataFrame([(p, []) for p in (both, one, unknown)], "path string, services array<int>")
+    got = {r.path: r for r in sections.extract_info(ts.listing(spark, str(tmp_path)), services).collect()}
+    assert {p: got[p].title for p in got} == {both: "late #2", one: "early", unknown: "(unknown)"}
+    assert got[both].episode_number == 2 and got[unknown].air_date is not None
+
+
+def test_batch_and_stream_at_the_edge(spark, tmp_path):
+    """Units whose first packet ends before the time, without a start code, or without payload: batch and stream agree."""
+    short = pes(90000, b"late time")
+    parts = [packet(CAPTION, short[:11], pusi=True), packet(CAPTION, short[11:])]
+    odd = bytes([9, 9, 9]) + pes(180000, b"no start code")[3:]
+    parts += [*whole(CAPTION, odd), *whole(CAPTION, pes(270000, b"")), *whole(CAPTION, pes(360000, b"good"))]
+    path = write(tmp_path, "j.ts", parts)
+    want = demuxed(spark, path)
+    assert [g[0] for g in want] == [0, 2000]
+    src = tmp_path / "in"
+    spark.createDataFrame(ts.scan(spark, [path]).where(F.col("pid") == CAPTION).collect(), ts.SCHEMA).coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema(ts.SCHEMA).parquet(str(src))
+    q = ingest.stream_pes(stream).writeStream.format("memory").queryName("edge").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows_of(spark.table("edge")) == want
+
+
+def empty_tables(spark):
+    from telesift.sources import tables
+
+    return tables.Tables(**{k: spark.createDataFrame([], v) for k, v in tables.SCHEMAS.items()}, raw={})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """A folder into tables, a file queued again, and a dump."""
+    from telesift.__main__ import main
+    from telesift.sources import tables
+
+    mount = tmp_path / "rec"
+    mount.mkdir()
+    path = recording(mount, "k.ts")
+    a, b, c = (str(tmp_path / n) for n in "abc")
+    tables.store(empty_tables(spark), a)
+    main(["ingest", str(mount), a, b])
+    t = tables.load(spark, b)
+    f = t.ts_files.first()
+    assert (f.path, f.status, f.episode_number, f.episode_title) == (path, "done", 7, "part") and t.programs.first().title == "AB"
+    assert sorted((r.ts_file_id, r.pts_start, r.text) for r in t.captions.collect()) == [(f.ts_file_id, 0, "one"), (f.ts_file_id, 2000, "two")]
+    main(["reingest", path, b, c])
+    again = tables.load(spark, c)
+    assert again.ts_files.first().status == "pending" and again.captions.count() == 0
+    with pytest.raises(KeyError):
+        main(["reingest", "/nowhere.ts", b, str(tmp_path / "d")])
+    capsys.readouterr()
+    main(["dump", str(mount)])
+    out = capsys.readouterr().out
+    assert "title: AB #7 part" in out and "captions: 2" in out and "[00:00:02.000 - 00:00:07.000] two" in out
+
+
+def test_append_captions(spark, tmp_path):
+    from telesift.sources import tables
+
+    path = str(tmp_path / "captions")
+    rows = lambda f, *texts: spark.createDataFrame([(i, f, i, 0, 1, x) for i, x in enumerate(texts)], tables.SCHEMAS["captions"])
+    for df in (rows(1, "a", "b"), rows(2, "c"), rows(1, "a", "b"), rows(2, "d")):
+        tables.append_captions(df, path)
+    assert sorted((r.ts_file_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "a"), (1, "b"), (2, "d")]
+
+
 def test_composite():
     import numpy as np
 
