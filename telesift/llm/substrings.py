@@ -20,6 +20,20 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 RUN_BASE, RUN_BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+#: By base: its powers from the first on, as far as any block has needed them.
+POWERS: dict[int, np.ndarray] = {}
+#: A random 64-bit value for each byte, by salt.
+VALUES = {salt: mix64(np.arange(256, dtype=np.uint64) + np.uint64(salt)) for salt in (1, 7, 29)}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base, base^2, ... base^n modulo 2^64."""
+    if len(POWERS.get(base, ())) < n:
+        with np.errstate(over="ignore"):
+            POWERS[base] = np.cumprod(np.full(max(n, 1 << 20), base, dtype=np.uint64), dtype=np.uint64)
+    return POWERS[base][:n]
+
+
 def power(base: np.uint64, n: int) -> np.uint64:
     return np.uint64(pow(int(base), n, 1 << 64))
 
@@ -27,7 +41,7 @@ def power(base: np.uint64, n: int) -> np.uint64:
 def rolled(data: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     """A polynomial hash of each run of n bytes, by doubling."""
     with np.errstate(over="ignore"):
-        step = mix64(data.astype(np.uint64) + np.uint64(1))
+        step = VALUES[1][data]
         out, have, size = None, 0, 1
         while True:
             if n & size:
@@ -84,10 +98,8 @@ def cut_runs(texts: list[bytes], length: int, k: int, hashed: bool = False) -> t
     with np.errstate(over="ignore"):
         for base, salt in ((RUN_BASE, 7), (RUN_BASE_2, 29)):
             # hash of a byte range from running sums of byte * base^place
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            p = np.cumprod(np.full(len(data), base), dtype=np.uint64)
-            q = np.cumprod(np.full(len(data), inverse), dtype=np.uint64)
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(data.astype(np.uint64) + np.uint64(salt)) * p, dtype=np.uint64)])
+            p, q = powers(int(base), len(data)), powers(pow(int(base), -1, 1 << 64), len(data))
+            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(VALUES[salt][data] * p, dtype=np.uint64)])
             hashes.append(mix64((total[begin + n + length - 1] - total[begin]) * q[begin] + n.astype(np.uint64)).view(np.int64))
     return row, begin - starts[row], n, gram[v[begin]].view(np.int64), *hashes
 
