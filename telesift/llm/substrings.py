@@ -230,7 +230,7 @@ class Shard:
         return pd.DataFrame({"doc_id": d[new], "lo": p[new], "hi": p[end] + self.length})
 
 
-def repeated_windows(pieces: DataFrame, length: int, shard_bytes: int = 2 << 20, memory: int = 1 << 23) -> DataFrame:
+def repeated_windows(pieces: DataFrame, length: int, shard_bytes: int = 1 << 20, memory: int = 1 << 23) -> DataFrame:
     """(doc_id, lo, hi) of windows of pieces (v, doc_id, at, piece) that stand earlier in another piece of the same v.
 
     Pieces come sorted by v within tasks, and the groups of v are gathered to shards of some megabytes.  A group is
