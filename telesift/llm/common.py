@@ -71,12 +71,17 @@ def shared(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if (size or 0) <= most_bytes else df
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(df: DataFrame, new: tuple[str, ...] = ()) -> DataFrame:
     """df with one more column `_row` that holds all columns but those named in new, whatever they are called.
 
     What an operator adds then clashes with nothing: it selects what it reads, and `_row.*` at its end.
     """
-    return df.select(F.struct(*[c for c in df.columns if c not in new]).alias("_row"))
+    return df.select(F.struct(*[quoted(c) for c in df.columns if c not in new]).alias("_row"))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
