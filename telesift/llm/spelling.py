@@ -105,12 +105,23 @@ class Index:
         shortest of them are merged by a heap, the others are only probed.
         """
         mine = grams(word, self.q)
-        lists = sorted(([x for p in range(at, at + longer + 1) if (x := self.lists.get((g, p)))] for at, g in enumerate(mine)), key=lambda xs: sum(map(len, xs)))
         need = len(word) + longer - 1
         few = len(mine) - need + 1
+        lists, missed, get = [], 0, self.lists.get
+        for at, g in enumerate(mine):
+            here = get((g, at))
+            behind = get((g, at + 1)) if longer else None
+            if here or behind:
+                lists.append([x for x in (here, behind) if x])
+            else:
+                missed += 1
+                if missed == few:
+                    return
+        lists.sort(key=lambda xs: sum(map(len, xs)))
+        few -= missed
         for i, hits in groupby(merge(*(x for xs in lists[:few] for x in xs))):
             n = sum(1 for _ in hits)
-            for left, xs in zip(range(len(mine) - few, 0, -1), lists[few:], strict=True):
+            for left, xs in zip(range(len(lists) - few, 0, -1), lists[few:], strict=True):
                 if n >= need or n + left * (longer + 1) < need:
                     break
                 n += sum((at := bisect_left(x, i)) < len(x) and x[at] == i for x in xs)
