@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -85,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
             rows: list[tuple] = []
             held = 0
             for doc, text in zip(keys, texts, strict=True):
-                ids = np.array([*encode([(text or b"").decode("utf-8", "replace")])[0], end], dtype="<u4")
+                ids = np.array(array("I", encode([(text or b"").decode("utf-8", "replace")])[0] + [end]), dtype="<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
                     rows.append((uid, doc, at, len(part), len(ids), part.tobytes()))
@@ -125,9 +126,10 @@ def statistics(rest: DataFrame) -> Stats:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                one = np.bincount(np.unique(np.frombuffer(ids, "<u4")), minlength=len(total))
-                one[: len(total)] += total
-                total = one
+                own = np.unique(np.frombuffer(ids, "<u4"))
+                if own[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(own[-1]) + 1 - len(total), np.int64)])
+                total[own] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
@@ -197,16 +199,21 @@ class Shard:
                     return
                 room = window - int(self.left[seed])
                 took = [(seed, int(self.left[seed]))]
-                near = self.ranked(seed) if room else np.zeros(0, np.int64)
-                for i in near:
-                    if room and self.left[i] <= room:
-                        took.append((int(i), int(self.left[i])))
-                        room -= int(self.left[i])
                 if room:
-                    whole = {i for i, _ in took}
-                    cut_one = next((int(i) for i in near if int(i) not in whole), None)
-                    if cut_one is not None:
-                        took.append((cut_one, room))
+                    near = self.ranked(seed)
+                    sizes = self.left[near]
+                    least = sizes.min(initial=window)
+                    split = None
+                    for i, n in zip(near.tolist(), sizes.tolist(), strict=True):
+                        if n <= room:
+                            took.append((i, n))
+                            room -= n
+                        elif split is None:
+                            split = i
+                        if room < least and (split is not None or not room):
+                            break
+                    if room and split is not None:
+                        took.append((split, room))
                 yield took
                 for i, n in took:
                     self.left[i] -= n
