@@ -162,17 +162,19 @@ def marked(files: DataFrame, ids: DataFrame, changes: dict[str, Column]) -> Data
     return out.select(*[F.when(F.col("_id").isNotNull(), changes[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in changes else F.col(c) for c in files.columns])
 
 
-def claim(files: DataFrame, most: int = 1) -> DataFrame:
-    """Ids of the next pending files; Spark's tasks share the work, so a batch is claimed at once."""
-    return files.where("status = 'pending'").orderBy("ts_file_id").limit(most).select("ts_file_id")
+def claim(files: DataFrame, most: int | None = 1) -> DataFrame:
+    """Ids of the next pending files, or of all; Spark's tasks share the work, so a batch is claimed at once."""
+    due = files.where("status = 'pending'").select("ts_file_id")
+    return due if most is None else due.orderBy("ts_file_id").limit(most)
 
 
 def start(t: Tables, ids: DataFrame) -> Tables:
     return t.with_(ts_files=marked(t.ts_files, ids, {"status": F.lit("ingesting")}))
 
 
-def claim_regen(files: DataFrame, most: int = 1) -> DataFrame:
-    return files.where("pes_regen = 1").orderBy("ts_file_id").limit(most).select("ts_file_id")
+def claim_regen(files: DataFrame, most: int | None = 1) -> DataFrame:
+    due = files.where("pes_regen = 1").select("ts_file_id")
+    return due if most is None else due.orderBy("ts_file_id").limit(most)
 
 
 def finish_regen(t: Tables, ids: DataFrame) -> Tables:
@@ -209,24 +211,36 @@ def crash_recovery(t: Tables) -> Tables:
     return t.with_(ts_files=files.select(*t.ts_files.columns))
 
 
-def apply_results(t: Tables, results: DataFrame, captions: DataFrame | None = None) -> Tables:
-    """Outcome of ingesting: results (ts_file_id, error, series_title, title, episode_number, episode_title, air_date, ingested_at).
+def keyed(results: DataFrame) -> DataFrame:
+    """results with the title of the programme that each belongs to; null for none."""
+    return results.withColumn("_key", F.nullif(program_key(F.col("series_title"), F.col("title")), F.lit("")))
 
-    Programmes are added by their key.  A file with an error gets only status and message.
-    """
-    r = results.withColumn("_key", F.nullif(program_key(F.col("series_title"), F.col("title")), F.lit("")))
-    keys = r.where("error is null and _key is not null").select(F.col("_key").alias("title")).distinct().join(t.programs.select("title"), "title", "left_anti")
-    added = next_ids(keys.withColumn("normalized_title", normalize_title("title")), t.programs, "program_id", "title")
-    programs = t.programs.unionByName(added.select(*t.programs.columns))
-    r = r.join(programs.select(F.col("title").alias("_key"), F.col("program_id").alias("_pid")), "_key", "left")
+
+def added_programs(programs: DataFrame, results: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """New rows of programs for results whose title is not there yet.  top: a row with the largest id used so far."""
+    keys = keyed(results).where("error is null and _key is not null").select(F.col("_key").alias("title")).distinct().join(programs.select("title"), "title", "left_anti")
+    return next_ids(keys.withColumn("normalized_title", normalize_title("title")), programs if top is None else top, "program_id", "title").select(*programs.columns)
+
+
+def with_outcome(files: DataFrame, programs: DataFrame, results: DataFrame) -> DataFrame:
+    """files with the outcome of those that results name; an error changes only status and message."""
+    r = keyed(results).join(programs.select(F.col("title").alias("_key"), F.col("program_id").alias("_pid")), "_key", "left")
     r = r.select(F.col("ts_file_id").alias("_id"), F.col("error").alias("_error"), "_pid", F.col("episode_number").alias("_ep"), F.col("episode_title").alias("_et"), F.col("air_date").alias("_air"), F.col("ingested_at").alias("_at"))
-    f = t.ts_files.join(r, F.col("ts_file_id") == F.col("_id"), "left")
+    f = files.join(r, F.col("ts_file_id") == F.col("_id"), "left")
     good, bad = F.col("_id").isNotNull() & F.col("_error").isNull(), F.col("_error").isNotNull()
     put = {"status": F.when(good, "done").when(bad, "error").otherwise(F.col("status")), "error_msg": F.when(bad, F.col("_error")).otherwise(F.col("error_msg"))}
     for c, new in (("program_id", "_pid"), ("episode_number", "_ep"), ("episode_title", "_et"), ("air_date", "_air"), ("ingested_at", "_at")):
         put[c] = F.when(good, F.col(new)).otherwise(F.col(c))
-    files = f.select(*[put[c].alias(c) if c in put else F.col(c) for c in t.ts_files.columns])
-    return t.with_(programs=programs, ts_files=files, captions=t.captions if captions is None else t.captions.unionByName(captions, allowMissingColumns=True))
+    return f.select(*[put[c].alias(c) if c in put else F.col(c) for c in files.columns])
+
+
+def apply_results(t: Tables, results: DataFrame, captions: DataFrame | None = None) -> Tables:
+    """Outcome of ingesting: results (ts_file_id, error, series_title, title, episode_number, episode_title, air_date, ingested_at).
+
+    Programmes are added by their key.  A file with an error gets only status and message.
+    """
+    programs = t.programs.unionByName(added_programs(t.programs, results))
+    return t.with_(programs=programs, ts_files=with_outcome(t.ts_files, programs, results), captions=t.captions if captions is None else t.captions.unionByName(captions, allowMissingColumns=True))
 
 
 def add_tag(t: Tables, caption_id: int, tag: str, spark: SparkSession) -> Tables:

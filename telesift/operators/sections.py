@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.b24 import Decoder, extra_table
-from ..sources.ts import EIT_FALLBACK, EIT_PACKETS, PSI_PACKETS, START_PERCENT, scan
+from ..sources.scratch import cut
+from ..sources.ts import EIT_FALLBACK, EIT_PACKETS, PSI_PACKETS, START_PERCENT, packets_in, ranges
 
 PAT_PID, EIT_PID = 0, 0x12
+SECTION = pa.schema([("path", pa.string()), ("pid", pa.int32()), ("pkt_no", pa.int64()), ("section", pa.binary())])
 EPG = "path string, event_start timestamp_ntz, title string, episode_number int, last_episode int, series_name string, detail string"
 
 
@@ -49,17 +52,25 @@ class Assembler:
 
 
 def sections(packets: DataFrame, pids: list[int] | None = None) -> DataFrame:
-    """(path, pid, pkt_no, section): the complete sections of each PID, in order."""
+    """(path, pid, pkt_no, section): the complete sections of each PID, in order.
+
+    The packets of a PID of a recording are sorted by Spark and go through one assembler, a batch at a time.
+    """
     if pids:
         packets = packets.where(F.col("pid").isin(pids))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, out = Assembler(), []
-        for row in g.sort_values("pkt_no").itertuples():
-            out += [(row.path, row.pid, row.pkt_no, s) for s in a.feed(row.pusi, bytes(row.payload))]
-        return pd.DataFrame(out, columns=["path", "pid", "pkt_no", "section"])
+    def run(batches):
+        last, a = None, Assembler()
+        for batch in batches:
+            out = []
+            for path, pid, no, pusi, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (path, pid) != last:
+                    last, a = (path, pid), Assembler()
+                out += [(path, pid, no, s) for s in a.feed(pusi, payload)]
+            yield pa.RecordBatch.from_pylist([dict(zip(SECTION.names, r, strict=True)) for r in out], schema=SECTION)
 
-    return packets.groupBy("path", "pid").applyInPandas(run, "path string, pid int, pkt_no long, section binary")
+    rows = packets.select("path", "pid", "pkt_no", "pusi", "payload").repartition("path", "pid").sortWithinPartitions("path", "pid", "pkt_no")
+    return rows.mapInArrow(run, "path string, pid int, pkt_no long, section binary")
 
 
 def descriptors(d: bytes, a: int, b: int):
@@ -84,6 +95,21 @@ def map_streams(section: bytes) -> list[tuple[int, bool]]:
     return out
 
 
+def associations(packets: DataFrame) -> DataFrame:
+    """(path, pid, service, pat_no): the programme maps that the association table of each recording names."""
+
+    def maps(batches):
+        for b in batches:
+            out = []
+            for path, no, s in zip(b["path"], b["pkt_no"], b["section"], strict=True):
+                s = bytes(s)
+                out += [(path, no, u16(s, i), u16(s, i + 2) & 0x1FFF) for i in range(8, len(s) - 7, 4) if u16(s, i)]
+            yield pd.DataFrame(out, columns=["path", "pat_no", "service", "pid"])
+
+    found = sections(packets, [PAT_PID]).mapInPandas(maps, "path string, pat_no long, service int, pid int")
+    return found.groupBy("path", "pid").agg(F.max_by("service", "pat_no").alias("service"), F.min("pat_no").alias("pat_no"))
+
+
 def programme_info(packets: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
     """(path, services, caption_pid) from the first `most` packets of each recording.
 
@@ -92,18 +118,21 @@ def programme_info(packets: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
     empty list and null.
     """
     head = packets.where(F.col("pkt_no") < most)
+    found = associations(head)
+    return caption_streams(packets.select("path").distinct(), found, head)
 
-    def maps(batches):
-        for b in batches:
-            out = []
-            for path, no, s in zip(b["path"], b["pkt_no"], b["section"], strict=True):
-                s = bytes(s)
-                out += [(path, no, u16(s, i), u16(s, i + 2) & 0x1FFF) for i in range(8, len(s) - 7, 4) if u16(s, i)]
-            yield pd.DataFrame(out, columns=["path", "pat_no", "service", "pid"])
 
-    found = sections(head, [PAT_PID]).mapInPandas(maps, "path string, pat_no long, service int, pid int")
-    found = found.groupBy("path", "pid").agg(F.max_by("service", "pat_no").alias("service"), F.min("pat_no").alias("pat_no"))
-    own = head.join(found.select("path", "pid", "pat_no"), ["path", "pid"]).where("pkt_no > pat_no").drop("pat_no")
+def file_info(files: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
+    """programme_info of files (path, length), which are read no further than its window: once for the association table,
+    and once for the maps that it names."""
+    found = cut(associations(packets_in(ranges(files.select("path", "length", F.array(F.lit(PAT_PID)).alias("pids")), most=most))))
+    maps = files.select("path", "length").join(found.groupBy("path").agg(F.collect_set("pid").alias("pids")), "path")
+    return caption_streams(files.select("path"), found, packets_in(ranges(maps, most=most)))
+
+
+def caption_streams(paths: DataFrame, found: DataFrame, packets: DataFrame) -> DataFrame:
+    """programme_info of paths, from the maps that associations() found and packets that have these maps."""
+    own = packets.join(found.select("path", "pid", "pat_no"), ["path", "pid"]).where("pkt_no > pat_no").drop("pat_no")
     first = sections(own).groupBy("path", "pid").agg(F.min(F.struct("pkt_no", "section")).alias("f")).join(found, ["path", "pid"])
 
     def streams(batches):
@@ -122,7 +151,6 @@ def programme_info(packets: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
         F.min_by("pid", F.when(F.col("named"), order)).alias("pa"),
         F.min_by("pid", F.when(~F.col("named"), order)).alias("pb"),
     )
-    paths = packets.select("path").distinct()
     return paths.join(got, "path", "left").select("path", F.when(F.size("a") > 0, F.col("a")).otherwise(F.coalesce("b", F.array().cast("array<int>"))).alias("services"), F.coalesce("pa", "pb").alias("caption_pid"))
 
 
@@ -206,18 +234,23 @@ def extract_info(files: DataFrame, services: DataFrame) -> DataFrame:
     """Event, series and air date of each recording of files (path, length, modified), in the windows of a scan.
 
     services: (path, services) of programme_info.  Files above LARGE bytes are read from START_PERCENT of their length on,
-    EIT_PACKETS at most; where that finds no titled event, EIT_FALLBACK packets from the start count; else the file's time.
-    The paths name the byte ranges to read, so they are listed by the driver.
+    EIT_PACKETS at most.  Only those in which that finds no titled event are read again, EIT_FALLBACK packets from the
+    start; what neither finds gets the file's time.  The first result is written to the shared folder, for the second
+    scan takes its files from it.
     """
-    spark, paths = files.sparkSession, [r["path"] for r in files.select("path").collect()]
+    late = cut(event_info(packets_in(late_ranges(files)), services))
+    early = event_info(packets_in(early_ranges(files, late)), services)
+    return with_series(recording_info(files, late, early))
 
-    def events(**window) -> DataFrame:
-        packets = scan(spark, paths, pids=str(EIT_PID), **window)
-        return event_info(packets, services)
 
-    late = events(startPercent=str(START_PERCENT), maxPackets=str(EIT_PACKETS))
-    early = events(maxPackets=str(EIT_FALLBACK))
-    return with_series(recording_info(files, late, early))
+def late_ranges(files: DataFrame) -> DataFrame:
+    return ranges(files.select("path", "length", F.array(F.lit(EIT_PID)).alias("pids")), START_PERCENT, EIT_PACKETS)
+
+
+def early_ranges(files: DataFrame, late: DataFrame) -> DataFrame:
+    """What is left to read after the late scan: the start of the files without a titled event."""
+    missing = files.join(late.where("title is not null").select("path"), "path", "left_anti")
+    return ranges(missing.select("path", "length", F.array(F.lit(EIT_PID)).alias("pids")), 0, EIT_FALLBACK)
 
 
 def recording_info(files: DataFrame, late: DataFrame, early: DataFrame) -> DataFrame:

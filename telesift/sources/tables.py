@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.timeline import caption_end, drop_empty_interval
+from .scratch import cut, drop
 
 SCHEMAS = {
     "programs": "program_id long, title string, normalized_title string",
@@ -36,24 +41,169 @@ class Tables:
             getattr(self, name).createOrReplaceTempView(name)
 
 
-def load(spark: SparkSession, path: str) -> Tables:
-    """Tables stored under path, one Parquet folder each."""
-    return Tables(**{k: spark.read.schema(s).parquet(f"{path}/{k}.parquet") for k, s in SCHEMAS.items()}, raw={})
-
+class Conflict(Exception):
+    """Another writer has published a version meanwhile."""
 
-def store(tables: Tables, path: str) -> None:
-    """A snapshot in a new folder.  Captions first, so that no file is seen as done before its captions are there."""
-    for name in ("captions", "tags", "thumbnails", "programs", "ts_files"):
-        getattr(tables, name).write.mode("errorifexists").parquet(f"{path}/{name}.parquet")
 
+class Store:
+    """The tables under a path, as a series of versions.
 
-def append_captions(captions: DataFrame, path: str) -> None:
-    """Captions of some files into the table at path, one partition a file.
+    A version is a small file that names, for each table, the folders with rows that were put and with keys that are gone.
+    Folders are written first and never changed; the version file then appears under its number by one rename, or not at
+    all.  So a reader sees a whole version, a writer that dies leaves the last one, and of two writers that started from
+    one version the second gets a Conflict.  A commit writes the rows it changes and no others.
 
-    A file's captions appear as a whole when the job commits, or not at all; captions that it had before are replaced,
-    so a repeat after a failure changes nothing.  Files that captions does not name are not touched.
+    Rows are gone for whom a later folder holds their key: KEYS names the column, which for captions is that of their file.
     """
-    captions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts_file_id").parquet(path)
+
+    KEYS = {"programs": "program_id", "ts_files": "ts_file_id", "captions": "ts_file_id", "tags": "caption_id", "thumbnails": "caption_id"}
+    IDS = {"programs": "program_id", "ts_files": "ts_file_id", "captions": "caption_id"}
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
+        self.fs = self.hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The number of the latest version; 0 if there is none."""
+        folder = self.hadoop.Path(f"{self.path}/_versions")
+        names = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def manifest(self, version: int | None = None) -> dict:
+        version = self.version() if version is None else version
+        if not version:
+            return {"version": 0, "parts": {t: [] for t in SCHEMAS}, "top": {}, "marks": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/_versions/{version:010d}.json", wholetext=True).first()[0])
+
+    def load(self, version: int | None = None) -> Tables:
+        """The tables of a version, the latest if none is named."""
+        parts = self.manifest(version)["parts"]
+        return Tables(**{t: self.rows(t, parts[t]) for t in SCHEMAS}, raw={})
+
+    def rows(self, table: str, parts: list[dict]) -> DataFrame:
+        key = self.KEYS[table]
+        kind = dict(self.spark.createDataFrame([], SCHEMAS[table]).dtypes)[key]
+        put = self.read(table, "put", SCHEMAS[table], parts)
+        if all(p["kind"] == "put" for p in parts):
+            return put.drop("_v")
+        gone = self.read(table, "gone", f"{key} {kind}", parts).groupBy(key).agg(F.max("_v").alias("_gone"))
+        return put.join(gone, key, "left").where("_gone is null or _v >= _gone").select(*[c for c in put.columns if c != "_v"])
+
+    def read(self, table: str, kind: str, schema: str, parts: list[dict]) -> DataFrame:
+        folders = [f"{self.path}/{table}/{kind}/_v={p['version']}/_u={p['name']}" for p in parts if p["kind"] == kind]
+        if not folders:
+            return self.spark.createDataFrame([], f"{schema}, _v long")
+        return self.spark.read.schema(f"{schema}, _v long, _u string").option("basePath", f"{self.path}/{table}/{kind}").parquet(*folders).drop("_u")
+
+    def top(self, table: str) -> DataFrame:
+        """One row with the largest id that the table ever had, for mutate.next_ids(); the table is not read."""
+        most = self.manifest()["top"].get(table, -1)
+        return self.spark.range(1).select(F.lit(most).cast("long").alias(self.IDS[table]))
+
+    def commit(self, put: dict[str, DataFrame], gone: dict[str, DataFrame] | None = None, based_on: int | None = None, mark: tuple[str, int] | None = None) -> int:
+        """Publishes a version in which the keys in gone are without their former rows and the rows in put are there.
+
+        based_on: the version that the changes were made from, the latest if none is named.  mark: a writer's name and the
+        number of its step; a step that is not above the writer's last one was committed before, and nothing happens.
+        """
+        based_on = self.version() if based_on is None else based_on
+        m = self.manifest(based_on)
+        if mark and m["marks"].get(mark[0], -1) >= mark[1]:
+            return based_on
+        number = based_on + 1
+        for kind, changes in (("gone", gone or {}), ("put", put)):
+            for table, df in changes.items():
+                name = uuid.uuid4().hex
+                df = df.select(self.KEYS[table]).distinct() if kind == "gone" else df.select(*[F.col(f.split()[0]) for f in SCHEMAS[table].split(", ")])
+                most = Observation()
+                if kind == "put" and table in self.IDS:
+                    df = df.observe(most, F.max(self.IDS[table]).alias("top"))
+                df.write.parquet(f"{self.path}/{table}/{kind}/_v={number}/_u={name}")
+                m["parts"][table].append({"kind": kind, "version": number, "name": name})
+                if kind == "put" and table in self.IDS and (top := most.get["top"]) is not None:
+                    m["top"][table] = max(top, m["top"].get(table, -1))
+        if mark:
+            m["marks"][mark[0]] = mark[1]
+        return self.publish(m, number)
+
+    def publish(self, m: dict, number: int) -> int:
+        m["version"] = number
+        folder = f"{self.path}/_versions"
+        new, final = self.hadoop.Path(f"{folder}/{uuid.uuid4().hex}.new"), self.hadoop.Path(f"{folder}/{number:010d}.json")
+        self.fs.mkdirs(self.hadoop.Path(folder))
+        out = self.fs.create(new, False)
+        out.write(json.dumps(m).encode())
+        out.close()
+        context = self.hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self.fs.makeQualified(new), self.fs.makeQualified(final), how)
+        except Py4JJavaError as e:
+            self.fs.delete(new, False)
+            if self.fs.exists(final):
+                raise Conflict(f"version {number} of {self.path} is there already") from e
+            raise
+        return number
+
+    def advance(self, before: Tables, after: Tables, based_on: int, mark: tuple[str, int] | None = None) -> int:
+        """Commits the difference of two states.  Tables that are the same object in both are not read; where no row
+        differs and there is no mark, no version is made."""
+        put, gone, kept = {}, {}, []
+        for table, key in self.KEYS.items():
+            a, b = getattr(before, table), getattr(after, table)
+            if a is b:
+                continue
+            b = b.select(*a.columns)
+            touched = cut(a.exceptAll(b).select(key).union(b.exceptAll(a).select(key)).distinct())
+            kept.append(touched)
+            if not touched.isEmpty():
+                put[table] = b.join(touched, key, "left_semi")
+                replaced = touched.join(a, key, "left_semi")
+                if not replaced.isEmpty():
+                    gone[table] = replaced
+        try:
+            return self.commit(put, gone, based_on, mark) if put or mark else based_on
+        finally:
+            for df in kept:
+                drop(df)
+
+    def change(self, transform: Callable[[Tables], Tables], tries: int = 5) -> int:
+        """Loads, transforms and advances; from the start again if another writer came first."""
+        for left in range(tries, 0, -1):
+            version = self.version()
+            before = self.load(version)
+            try:
+                return self.advance(before, transform(before), version)
+            except Conflict:
+                if left == 1:
+                    raise
+        return self.version()
+
+    def compact(self, most_parts: int = 20) -> int:
+        """Tables of more than most_parts folders get a single one with the rows that count."""
+        version = self.version()
+        m = self.manifest(version)
+        number = version + 1
+        due = [t for t, parts in m["parts"].items() if len(parts) > most_parts]
+        for table in due:
+            name = uuid.uuid4().hex
+            self.rows(table, m["parts"][table]).write.parquet(f"{self.path}/{table}/put/_v={number}/_u={name}")
+            m["parts"][table] = [{"kind": "put", "version": number, "name": name}]
+        return self.publish(m, number) if due else version
+
+
+def load(spark: SparkSession, path: str) -> Tables:
+    """Tables stored under path, in their latest version."""
+    return Store(spark, path).load()
+
+
+def store(tables: Tables, path: str) -> None:
+    """All tables as the first version of a new store."""
+    new = Store(tables.ts_files.sparkSession, path)
+    if new.version():
+        raise FileExistsError(path)
+    new.commit({t: getattr(tables, t) for t in SCHEMAS})
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Tables:

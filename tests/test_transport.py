@@ -275,41 +275,40 @@ def empty_tables(spark):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    """A folder into tables, a file queued again, and a dump."""
+    """A folder into tables, in several batches, a file queued again, and a dump."""
     from telesift.__main__ import main
     from telesift.sources import tables
 
     mount = tmp_path / "rec"
     mount.mkdir()
     path = recording(mount, "k.ts")
-    a, b, c = (str(tmp_path / n) for n in "abc")
-    tables.store(empty_tables(spark), a)
-    main(["ingest", str(mount), a, b])
-    t = tables.load(spark, b)
-    f = t.ts_files.first()
-    assert (f.path, f.status, f.episode_number, f.episode_title) == (path, "done", 7, "part") and t.programs.first().title == "AB"
-    assert sorted((r.ts_file_id, r.pts_start, r.text) for r in t.captions.collect()) == [(f.ts_file_id, 0, "one"), (f.ts_file_id, 2000, "two")]
-    main(["reingest", path, b, c])
-    again = tables.load(spark, c)
-    assert again.ts_files.first().status == "pending" and again.captions.count() == 0
+    more = [recording(mount, f"k{i}.ts") for i in range(2)]
+    where, streams = str(tmp_path / "tables"), str(tmp_path / "streams")
+    tables.store(empty_tables(spark), where)
+    main(["ingest", str(mount), where, "--batch", "2", "--streams", streams])
+    t = tables.load(spark, where)
+    files = {r.path: r for r in t.ts_files.collect()}
+    f = files[path]
+    assert set(files) == {path, *more} and {r.status for r in files.values()} == {"done"}
+    assert (f.episode_number, f.episode_title) == (7, "part") and [r.title for r in t.programs.collect()] == ["AB"]
+    captions_of = lambda t: sorted((r.ts_file_id, r.pts_start, r.text) for r in t.captions.collect())
+    want = sorted((r.ts_file_id, at, text) for r in files.values() for at, text in ((0, "one"), (2000, "two")))
+    assert captions_of(t) == want and t.captions.select("caption_id").distinct().count() == 6
+    main(["ingest", str(mount), where, "--streams", streams])
+    assert spark.read.parquet(streams).count() == 6 and captions_of(tables.load(spark, where)) == want
+    main(["reingest", path, where])
+    again = tables.load(spark, where)
+    assert again.ts_files.where("status = 'pending'").first().path == path and again.captions.count() == 4
+    main(["ingest", str(mount), where])
+    assert captions_of(tables.load(spark, where)) == want
     with pytest.raises(KeyError):
-        main(["reingest", "/nowhere.ts", b, str(tmp_path / "d")])
+        main(["reingest", "/nowhere.ts", where])
     capsys.readouterr()
     main(["dump", str(mount)])
     out = capsys.readouterr().out
     assert "title: AB #7 part" in out and "captions: 2" in out and "[00:00:02.000 - 00:00:07.000] two" in out
 
 
-def test_append_captions(spark, tmp_path):
-    from telesift.sources import tables
-
-    path = str(tmp_path / "captions")
-    rows = lambda f, *texts: spark.createDataFrame([(i, f, i, 0, 1, x) for i, x in enumerate(texts)], tables.SCHEMAS["captions"])
-    for df in (rows(1, "a", "b"), rows(2, "c"), rows(1, "a", "b"), rows(2, "d")):
-        tables.append_captions(df, path)
-    assert sorted((r.ts_file_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "a"), (1, "b"), (2, "d")]
-
-
 def test_composite():
     import numpy as np
 
