@@ -93,9 +93,19 @@ class Index:
     def __init__(self, words: list[str], q: int):
         self.words, self.q = words, q
         self.lists: dict[tuple[str, int], list[int]] = {}
+        self.either: dict[tuple[str, int], list[int]] = {}
         for i, word in enumerate(words):
-            for p, g in enumerate(grams(word, q)):
-                self.lists.setdefault((g, p), []).append(i)
+            for at in zip(grams(word, q), range(len(word) + q - 1), strict=True):
+                self.lists.setdefault(at, []).append(i)
+
+    def at_or_behind(self, gram: str, position: int) -> list[int] | None:
+        """Words with the gram at the position or the next one."""
+        here, behind = self.lists.get((gram, position)), self.lists.get((gram, position + 1))
+        if not here or not behind:
+            return here or behind
+        if (gram, position) not in self.either:
+            self.either[gram, position] = sorted({*here, *behind})
+        return self.either[gram, position]
 
     def near(self, word: str, longer: int) -> Iterator[str]:
         """Words of the index one edit from word: as long as it, or by one code point longer.
@@ -107,24 +117,26 @@ class Index:
         mine = grams(word, self.q)
         need = len(word) + longer - 1
         few = len(mine) - need + 1
-        lists, missed, get = [], 0, self.lists.get
+        lists, get = [], self.at_or_behind if longer else lambda g, at: self.lists.get((g, at))
         for at, g in enumerate(mine):
-            here = get((g, at))
-            behind = get((g, at + 1)) if longer else None
-            if here or behind:
-                lists.append([x for x in (here, behind) if x])
-            else:
-                missed += 1
-                if missed == few:
-                    return
-        lists.sort(key=lambda xs: sum(map(len, xs)))
-        few -= missed
-        for i, hits in groupby(merge(*(x for xs in lists[:few] for x in xs))):
-            n = sum(1 for _ in hits)
-            for left, xs in zip(range(len(lists) - few, 0, -1), lists[few:], strict=True):
-                if n >= need or n + left * (longer + 1) < need:
+            if x := get(g, at):
+                lists.append(x)
+            elif at - len(lists) + 1 == few:
+                return
+        lists.sort(key=len)
+        few -= len(mine) - len(lists)
+        rest = lists[few:]
+        for i, hits in groupby(merge(*lists[:few]) if few > 1 else lists[0]):
+            n = len(list(hits)) if few > 1 else 1
+            spare = n + len(rest) - need
+            for x in rest:
+                if spare < 0 or n >= need:
                     break
-                n += sum((at := bisect_left(x, i)) < len(x) and x[at] == i for x in xs)
+                at = bisect_left(x, i)
+                if at < len(x) and x[at] == i:
+                    n += 1
+                else:
+                    spare -= 1
             if n >= need and one_edit(word, self.words[i]):
                 yield self.words[i]
 
