@@ -40,13 +40,14 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    whole: list[Tokenizer] = []
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     vocab = model.get("vocab", {})
 
     def slow(texts: list[str]) -> list[list[int]]:
+        own = whole[0] if whole else whole.append(Tokenizer.from_file(path)) or whole[0]
         return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
     plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
@@ -72,7 +73,7 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 def pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
     """(uid, doc_id, start, length, doc_tokens, ids): the windows that documents fill by themselves, and what is left.
 
-    ids are little-endian unsigned 32-bit integers.  uid is a number of the piece, by task and order.
+    ids are narrow(): read them with ids_of().  uid is a number of the piece, by task and order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
                 ids = np.array(array("I", encode([(text or b"").decode("utf-8", "replace")])[0] + [end]), dtype="<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
-                    rows.append((uid, doc, at, len(part), len(ids), part.tobytes()))
+                    rows.append((uid, doc, at, len(part), len(ids), narrow(part)))
                     uid += 1
                 held += len(ids)
                 if held > 2_000_000:
@@ -101,6 +102,15 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    """ids as little-endian unsigned integers of 16 bits where that is enough, else of 32."""
+    return (ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids).tobytes()
+
+
+def ids_of(data: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2").astype("<u4") if len(data) == 2 * length else np.frombuffer(data, "<u4")
+
+
 def table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "binary": pa.binary()}
     fields = [f.split(" ") for f in schema.split(", ")]
@@ -125,15 +135,15 @@ def statistics(rest: DataFrame) -> Stats:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.unique(np.frombuffer(ids, "<u4"))
+            for ids, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.unique(ids_of(ids, length))
                 if own[-1] >= len(total):
                     total = np.concatenate([total, np.zeros(int(own[-1]) + 1 - len(total), np.int64)])
                 total[own] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    got = rest.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = rest.select("ids", "length").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     size = rest.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     held = np.zeros(int(max(got.column("id").to_pylist(), default=0)) + 1, np.int64)
     held[got.column("id").to_numpy()] = got.column("n").to_numpy()
@@ -153,8 +163,8 @@ def sketched(rest: DataFrame, stats: Stats) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for ids in batch.column(batch.schema.get_field_index("ids")).to_pylist():
-                own = np.frombuffer(ids, "<u4")
+            for ids, length in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "length")), strict=True):
+                own = ids_of(ids, length)
                 out.append(int(own[rank[own].argmin()]))
             yield batch.append_column("sketch", pa.array(out, pa.int64()))
 
@@ -175,6 +185,12 @@ class Shard:
         self.doc, self.weight = doc[order], weight[order]
         self.bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
+    def compact(self) -> None:
+        """Without the postings of used pieces."""
+        kept = self.left[self.doc] > 0
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])
+        self.doc, self.weight, self.bounds = self.doc[kept], self.weight[kept], before[self.bounds]
+
     def ranked(self, seed: int) -> np.ndarray:
         """The unused pieces but the seed, nearest first; of equal scores the first piece."""
         terms = self.terms[seed]
@@ -193,7 +209,11 @@ class Shard:
         that remains, which stays in the index with its rest.  Only a window for which all pieces do not suffice is
         short: it is made if `last`, else its pieces are left for the next shard.
         """
+        indexed = len(self.left)
         for seed in range(len(self.left)):
+            if (unused := int((self.left > 0).sum())) < 0.75 * indexed:
+                self.compact()
+                indexed = unused
             while self.left[seed] > 0:
                 if not last and self.left.sum() < window:
                     return
@@ -263,7 +283,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, shar
         held = 0
         for batch in batches:
             for doc, start, length, total, ids in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "ids")), strict=True):
-                rows.append((doc, start, length, total, np.frombuffer(ids, "<u4")))
+                rows.append((doc, start, length, total, ids_of(ids, length)))
                 held += length
                 if len(rows) >= shard and held >= window:
                     yield table(packed(rows, False), DONE)
@@ -272,5 +292,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, shar
             yield table(packed(rows, True), DONE)
 
     order = near.repartitionByRange("sketch", "uid").sortWithinPartitions("sketch", "uid").drop("sketch", "uid")
+
+    def alone(batches):
+        for batch in batches:
+            wide = [ids_of(x, window).tobytes() for x in batch.column(4).to_pylist()]
+            yield batch.set_column(4, "ids", pa.array(wide, pa.binary()))
+
     full = every.where(F.col("length") == window).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return order.mapInArrow(run, DONE).unionByName(full)
+    return order.mapInArrow(run, DONE).unionByName(full.mapInArrow(alone, DONE))
