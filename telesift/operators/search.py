@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import contains_folded, display_title, time_range
 from ..functions.params import Page, SearchParams, checked_date
 from ..sources.tables import Tables
+from .paging import SHALLOW, page_of
 
 THUMB_COUNT = 6
 PAGE_SIZE = 50
@@ -87,9 +88,13 @@ def with_tags(df: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def search(t: Tables, p: SearchParams, size: int = PAGE_SIZE) -> DataFrame:
-    """One page: the rows are picked by top-k first, and only they meet programmes, frames and tags."""
-    window = Page(p.page, 0, size)
-    page = matches(t, p).orderBy(*search_order()).offset(window.offset).limit(size)
+    """One page: its rows are picked first (see page_of()), and only they meet programmes, frames and tags."""
+    window, rows = Page(p.page, 0, size), matches(t, p)
+    if window.offset + size <= SHALLOW:
+        page = page_of(rows, search_order(), window.offset, size)
+    else:
+        keys = rows.select("air_date", "episode_number", "pts_start", "caption_id")
+        page = rows.join(F.broadcast(page_of(keys, search_order(), window.offset, size).select("caption_id")), "caption_id", "left_semi")
     page = framed(titled(page, t.programs), t.thumbnails)
     page = with_tags(page, t.tags)
     return page.select("caption_id", "ts_file_id", "text", "air_date", "episode_number", "pts_start", display_title(F.col("title"), F.col("episode_number"), F.col("episode_title")).alias("display_title"), time_range(F.col("pts_start"), F.col("pts_end")).alias("time_range"), "has_thumb", "preview_frame", F.array_join("tags", "\n").alias("tags")).orderBy(*search_order())

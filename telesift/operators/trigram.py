@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ascii_fold, contains_folded
@@ -13,15 +13,24 @@ def trigrams(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_fold(x), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
-def build(captions: DataFrame) -> DataFrame:
-    """(gram, caption_id): rebuilt, or appended to for new captions and anti-joined for deleted ones."""
-    return captions.select(F.explode(trigrams(F.col("text"))).alias("gram"), "caption_id")
+def build(captions: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(gram, caption_id): rebuilt, or appended to for new captions and anti-joined for deleted ones.
+
+    only: the grams that are wanted; others make no row.
+    """
+    grams = trigrams(F.col("text"))
+    return captions.select(F.explode(grams if only is None else F.filter(grams, lambda g: g.isin(only))).alias("gram"), "caption_id")
+
+
+def grams_of(q: str) -> list[str]:
+    """The grams of a search text."""
+    folded = q.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
 
 
 def lookup(index: DataFrame, captions: DataFrame, q: str) -> DataFrame:
     """Captions that contain q, by the grams of q and then by the text itself; none for fewer than three characters."""
-    folded = q.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    grams = sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
+    grams = grams_of(q)
     if not grams:
         return captions.limit(0)
     hits = index.where(F.col("gram").isin(grams)).groupBy("caption_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
@@ -31,3 +40,60 @@ def lookup(index: DataFrame, captions: DataFrame, q: str) -> DataFrame:
 def maintain(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """The index after captions came and went."""
     return index.join(removed.select("caption_id"), "caption_id", "left_anti").unionByName(build(added))
+
+
+class Index:
+    """A stored index of trigrams: folders of buckets by gram, with rows of captions that came and of captions that went.
+
+    A row has the step at which it was written.  A gram of a caption counts unless the caption went at a later step, so
+    steps must grow; a step that is written again changes nothing.  A caption touches only the buckets of its grams, and a
+    search reads only those of its own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 256):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def bucket(self, gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(self.buckets)).cast("int")
+
+    def write(self, rows: DataFrame, kind: str, step: int) -> None:
+        rows = rows.withColumns({"step": F.lit(step).cast("long"), "bucket": self.bucket(F.col("gram"))})
+        rows.repartition("bucket").sortWithinPartitions("bucket", "gram", "caption_id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{kind}")
+
+    def add(self, captions: DataFrame, step: int) -> None:
+        """Captions (caption_id, text) that came."""
+        self.write(build(captions), "came", step)
+
+    def remove(self, captions: DataFrame, step: int) -> None:
+        """Captions (caption_id, text as it was) that went."""
+        self.write(build(captions), "went", step)
+
+    def read(self, kind: str, grams: list[str]) -> DataFrame:
+        """The rows of the buckets of some grams.  The condition on buckets is constant, so other folders are not opened."""
+        schema = "gram string, caption_id long, step long, bucket int"
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
+        return rows.where(F.col("bucket").isin([self.bucket(F.lit(g)) for g in grams]) & F.col("gram").isin(grams))
+
+    def candidates(self, q: str) -> DataFrame:
+        """(caption_id) of captions that have all grams of q, which has one at least."""
+        grams = grams_of(q)
+        came = self.read("came", grams).groupBy("caption_id", "gram").agg(F.max("step").alias("step"))
+        went = self.read("went", grams).groupBy("caption_id", "gram").agg(F.max("step").alias("_gone"))
+        there = came.join(went, ["caption_id", "gram"], "left").where("_gone is null or step > _gone")
+        return there.groupBy("caption_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("caption_id")
+
+    def lookup(self, captions: DataFrame, q: str) -> DataFrame:
+        """Captions that contain q; none for fewer than three characters."""
+        if not grams_of(q):
+            return captions.limit(0)
+        return captions.join(self.candidates(q), "caption_id", "left_semi").where(contains_folded(F.col("text"), q))
+
+    def compact(self, other: Index) -> None:
+        """What counts, written to another index."""
+        rows = self.spark.read.schema("gram string, caption_id long, step long, bucket int")
+        came = rows.parquet(f"{self.path}/came").groupBy("caption_id", "gram").agg(F.max("step").alias("step"))
+        went = rows.parquet(f"{self.path}/went").groupBy("caption_id", "gram").agg(F.max("step").alias("_gone"))
+        other.write(came.join(went, ["caption_id", "gram"], "left").where("_gone is null or step > _gone").select("gram", "caption_id"), "came", 0)

@@ -579,7 +579,7 @@ def _(t):
 
 @query("t2_fts_match", f"SELECT caption_id FROM captions WHERE {fold('text')} LIKE '%tion%'")
 def _(t):
-    return trigram.lookup(trigram.build(t.captions), t.captions, "TION").select("caption_id")
+    return trigram.lookup(trigram.build(t.captions, trigram.grams_of("TION")), t.captions, "TION").select("caption_id")
 
 
 # changes, as the state afterwards

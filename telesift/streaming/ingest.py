@@ -201,7 +201,8 @@ def stream_sections(packets: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     """Sections from a stream of packets, the same rows as sections.sections() gives for a batch.
 
     State is kept by (path, pid) only while a section is incomplete; one that no packet came for in idle_ms is given up.
-    Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).  A run that ends when all is read needs
+    spark.sql.streaming.noDataMicroBatches.enabled off, for timers ask for one more batch each time.
     """
     return packets.groupBy("path", "pid").transformWithStateInPandas(Sections(idle_ms), SECTION_ROWS, "append", "processingTime")
 
