@@ -66,31 +66,53 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(aligned: list[tuple[int, int]], weights: list[int], least: int) -> list[int]:
-    """Places in the second list that lie in aligned blocks (both sides consecutive) of weight `least` or more."""
-    out, run = [], []
-    for x, y in [*aligned, (-9, -9)]:
-        if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-            if sum(weights[v] for _, v in run) >= least:
-                out += [v for _, v in run]
-            run = []
-        run.append((x, y))
+def least_runs(lines: list, words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last + 1) of the shortest runs of lines with `least` words: from each line on, and up to each line."""
+    out = []
+    for step in (1, -1):
+        for i in range(len(lines)):
+            j, total = i, 0
+            while 0 <= j < len(lines) and total < least:
+                total += words[j]
+                j += step
+            if total >= least:
+                out.append((i, j) if step > 0 else (j + 1, i + 1))
     return out
 
 
-def shared_lines(a: list, b: list, weights: list[int], least: int) -> list[int]:
-    """Places in b that lie in blocks of weight `least` or more aligned with a.
+def common_runs(a: list, b: list, words: list[int], least: int) -> set[int]:
+    """Places in b that lie in runs of lines which stand in a as well, consecutive in both, with `least` words or more.
 
-    What an alignment leaves of b is aligned again, until no block is found: blocks that stand in another order in a
-    are shared as well.
+    Each such run consists of least_runs() of its own lines, so it is enough to look these up; they have `least` lines at
+    most, and the time grows with the number of lines, however often they repeat.
     """
+    weight = dict(zip(b, words, strict=True))
+    # lines that b lacks end a run: they stand apart, with a weight that nothing in b has
+    there = {tuple(a[i:j]) for i, j in least_runs(a, [weight.get(x, least) for x in a], least)}
     out: set[int] = set()
-    while True:
-        rest = [i for i in range(len(b)) if i not in out]
-        found = blocks([(x, rest[y]) for x, y in patience(a, [b[i] for i in rest])], weights, least)
-        if not found:
-            return sorted(out)
-        out.update(found)
+    for i, j in least_runs(b, words, least):
+        if tuple(b[i:j]) in there:
+            out.update(range(i, j))
+    return out
+
+
+def shared_lines(a: list, b: list, words: list[int], least: int) -> list[int]:
+    """Places in b of the lines that are deleted: blocks of `least` words or more that are aligned with a.
+
+    The patience diff aligns what stands in the same order in both.  What it leaves, blocks in another order and blocks
+    of lines that are not unique, is aligned with any equal run of a.
+    """
+    out: set[int] = set()
+    run: list[tuple[int, int]] = []
+    for x, y in [*patience(a, b), (-9, -9)]:
+        if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
+            if sum(words[v] for _, v in run) >= least:
+                out.update(v for _, v in run)
+            run = []
+        run.append((x, y))
+    if len(out) < len(b):
+        out |= common_runs(a, b, words, least)
+    return sorted(out)
 
 
 def windows(h: Column, n: Column, least_words: int) -> Column:
@@ -153,7 +175,8 @@ def removals(docs: DataFrame, least_words: int = 5) -> DataFrame:
 def dedup_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """docs with text cut down, n_lines and n_removed (lines that are not blank).
 
-    Deletes from the later of two overlapping documents every aligned common block of `least_words` words or more.
+    Deletes from the later of two overlapping documents every common block of `least_words` words or more: lines that are
+    consecutive in both, wherever they stand and however often.
     The first document keeps its lines, so each text stays somewhere; a document that is a copy is left with an empty
     text, not dropped.  Lines are compared without white space at their ends.  Null and empty texts and rows with a null
     doc_id are left as they are.  Rows that share a doc_id, repeated rows among them, have no order: they are not judged
