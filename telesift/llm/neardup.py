@@ -154,8 +154,12 @@ def sketch_table(docs: DataFrame, count: int, picks: int) -> DataFrame:
 
 
 def word_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): 32-bit word hashes as bytes, for alignment."""
-    return hashed_words(docs, "doc_id long, words binary", lambda doc_id, w: (doc_id, (w >> np.uint64(16)).astype("<u4").tobytes()))
+    """(doc_id, key, words): the digest, and 32-bit word hashes as bytes, for alignment."""
+
+    def make(doc_id, w):
+        return doc_id, hashlib.blake2b(w.tobytes(), digest_size=16).digest(), (w >> np.uint64(16)).astype("<u4").tobytes()
+
+    return hashed_words(docs, "doc_id long, key binary, words binary", make)
 
 
 def alike(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -181,8 +185,8 @@ def verify(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
                 good.append(alike(u, v, int((1 - similarity) * max(len(u), len(v)) + 1e-9)))
             yield batch[["a", "b"]][good]
 
-    left = text.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"))
-    right = text.select(F.col("doc_id").alias("b"), F.col("words").alias("wb"))
+    left = text.select(F.col("rep").alias("a"), F.col("words").alias("wa"))
+    right = text.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long")
 
 
@@ -199,11 +203,11 @@ def across(large: DataFrame, classes: DataFrame, text: DataFrame, sketch: DataFr
     named = cut(named.select("rep", F.coalesce("component", "rep").alias("class"), F.inline("at")))
     mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
     rows = cut(named.join(mixed, "bucket"))
-    size = rows.join(text.select(F.col("doc_id").alias("rep"), F.octet_length("words").alias("bytes")), "rep").groupBy("bucket")
+    size = rows.join(text.select("rep", F.octet_length("words").alias("bytes")), "rep").groupBy("bucket")
     size = size.agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("nb"))
     rows = rows.join(size, "bucket").withColumn("blk", F.pmod(F.xxhash64("rep", "bucket"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.join(text.withColumnRenamed("doc_id", "rep"), "rep").join(sketch, "rep")
+    rows = rows.join(text, "rep").join(sketch, "rep")
     rows = rows.select("bucket", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "i", "rep", "class", "words", F.slice("sketch", F.lit(1), F.col("i")).alias("before"))
 
     def tile(g: pd.DataFrame) -> pd.DataFrame:
@@ -252,12 +256,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 40, p
     4. Classes are the connected components of the links.
 
     Null and empty texts have no words: all of them are one class.  Texts of fewer than three words are one k-mer.  Rows
-    that share a doc_id share a class; if their texts differ, the links of any of them count.  Rows with a null doc_id are not judged: they come back with a null class.
+    that share a doc_id share a class; if their texts differ, the links of each of them count.  Very long texts are
+    sketched and aligned whole.  Rows with a null doc_id are not judged: they come back with a null class.
     """
     all_rows = docs.where("doc_id is not null")
     rows = cut(sketch_table(all_rows, count, picks))
-    first = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("f")).select("key", F.col("f.doc_id").alias("rep"), F.col("f.sketch").alias("sketch")))
-    copies = rows.select("doc_id", "key").join(first.select("key", "rep"), "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # rep numbers the different texts: one doc_id may have several
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("f")).select("key", F.col("f.doc_id").alias("doc_id"), F.col("f.sketch").alias("sketch"))
+    first = cut(first.withColumn("rep", F.monotonically_increasing_id()))
+    copies = rows.select("doc_id", "key").join(first.select("key", F.col("doc_id").alias("b")), "key").select(F.col("doc_id").alias("a"), "b")
     bucket = first.select("rep", F.posexplode("sketch").alias("i", "s")).select(F.xxhash64("i", "s").alias("bucket"), "rep", "i")
     # the middle of a group shares the most buckets with the most others
     weight = bucket.join(bucket.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket").groupBy("rep").agg(F.sum("c").alias("weight"))
@@ -266,9 +273,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 40, p
     size = bucket.groupBy("bucket").agg(F.count("*").alias("c"), middle).where("c > 1")
     members = cut(bucket.join(size, "bucket"))
     # the texts are read again, but only those of documents that share a bucket with another
-    wanted = members.select(F.col("rep").alias("_w")).distinct()
-    wanted = all_rows.join(shared(wanted), F.col("doc_id") == F.col("_w"), "left_semi")
-    text = cut(word_table(wanted).groupBy("doc_id").agg(F.min("words").alias("words")))
+    named = cut(first.select("rep", "key", "doc_id").join(members.select("rep").distinct(), "rep"))
+    wanted = all_rows.join(shared(cut(named.select(F.col("doc_id").alias("_w")).distinct())), F.col("doc_id") == F.col("_w"), "left_semi")
+    text = cut(word_table(wanted).join(named.select("key", "rep"), "key").groupBy("rep").agg(F.min("words").alias("words")))
     few = members.where(F.col("c") <= few_members).select("bucket", F.col("rep").alias("b"))
     pairs = few.join(few.withColumnRenamed("b", "a"), "bucket").where("a < b").select("a", "b")
     many = members.where(F.col("c") > few_members)
@@ -276,7 +283,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, count: int = 40, p
     good = cut(verify(cut(pairs.distinct()), text, similarity))
     sketch = first.select("rep", "sketch")
     more = cut(across(many.select("bucket", "rep", "i"), components(good), text, sketch, similarity))
-    classes = components(copies.unionByName(good).unionByName(more)).select(F.col("id").alias("_id"), "component")
+    ids = named.select(F.col("rep").alias("a"), F.col("doc_id").alias("da")), named.select(F.col("rep").alias("b"), F.col("doc_id").alias("db"))
+    links = good.unionByName(more).join(ids[0], "a").join(ids[1], "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    classes = components(copies.unionByName(links)).select(F.col("id").alias("_id"), "component")
     out = docs.select("doc_id").distinct().join(classes, F.col("doc_id") == F.col("_id"), "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
