@@ -72,12 +72,20 @@ def best_branches(pairs: DataFrame, messages: DataFrame, top: int = 1) -> DataFr
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def format_branches(messages: DataFrame, top: int = 1) -> DataFrame:
+def one_each(messages: DataFrame) -> DataFrame:
+    """messages with one row for each (tree_id, node): of several the least by parent (null first), role, text, score."""
+    rest = F.min(F.struct("parent", "role", "text", F.col("score").cast("double").alias("score"))).alias("_m")
+    return messages.groupBy("tree_id", "node").agg(rest).select("tree_id", "node", "_m.*")
+
+
+def format_branches(messages: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
     """One row per chosen branch: tree_id, leaf, rank, n_turns, formatted, loss: array of (start, length).
 
-    messages: tree_id, node, parent, role, text, score.  Null roles and texts are empty.  The loss mask covers the
-    texts of assistant turns as they stand in `formatted`, in code points.
+    messages: tree_id, node, parent, role, text, score; other columns are not read.  Null roles and texts are empty, very
+    long ones stay whole, and an empty table gives no rows.  Repeated messages count once (see one_each()); unique says
+    that there are none.  The loss mask covers the texts of assistant turns as they stand in `formatted`, in code points.
     """
+    messages = messages if unique else cut(one_each(messages))
     pairs = paths(messages)
     chosen = best_branches(pairs, messages, top)
     steps = pairs.join(chosen.select(F.col("tree_id").alias("_ct"), F.col("leaf").alias("_cl"), "rank"), F.col("tree_id").eqNullSafe(F.col("_ct")) & (F.col("leaf") == F.col("_cl")))

@@ -191,6 +191,7 @@ def near_pairs(words: DataFrame, q: int = 3, most: int = MOST) -> DataFrame:
     reported under the smallest key that both have.  No pair of two words that share a key is made but those which stand
     in one of the merged lists.
     """
+    words = words.where(F.char_length("word") >= 2)
     counts = gram_counts(words, q)
 
     def post(batches):
@@ -273,8 +274,9 @@ def variants(words: DataFrame, q: int = 3, ratio: float = 2, most: int = MOST) -
 
     n_near counts the words one edit apart.  form is the one of largest n (ties: the smallest), if that is ratio times
     the word's own n or more; else form and form_n are null.  root: from the word, forms are followed to the last.  As n
-    grows by ratio > 1 with each step, no chain is a circle.  An empty table gives no rows; words of any length are used
-    whole, rows with a null word are left out.
+    grows by ratio > 1 with each step, no chain is a circle.  An empty table gives no rows; long words are used whole;
+    words of less than two code points, which may share no gram with their neighbours, are compared with none; rows with a
+    null word are left out.
     """
     words = cut(words.where("word is not null").select("word", "n"))
     best = near_pairs(words, q, most).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("n"), "other")).alias("_best"))

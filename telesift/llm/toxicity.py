@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import packed, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -144,10 +144,11 @@ def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     counts.  Without a model all three are 0.  The model holds at most `vocabulary` features.  Columns of docs that have
     one of the new names are replaced.
     """
-    schema = "severity double, grade int, p_toxic double"
-    kept = [c for c in docs.columns if c not in ("severity", "grade", "p_toxic")]
+    schema, new = "severity double, grade int, p_toxic double", ("severity", "grade", "p_toxic")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
+    rows = packed(docs, new)
     if model is None:
-        return docs.select(*kept, F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"))
+        return rows.select(*kept, F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"))
 
     @F.pandas_udf(schema)
     def judged(texts: pd.Series) -> pd.DataFrame:
@@ -168,4 +169,4 @@ def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
         exact = -np.diff(np.hstack([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))]), axis=1)
         return pd.DataFrame({"severity": above.sum(axis=1), "grade": exact.argmax(axis=1).astype("int32"), "p_toxic": above[:, 0]})
 
-    return docs.select(*kept, judged("text").alias("_j")).select(*kept, "_j.severity", "_j.grade", "_j.p_toxic")
+    return rows.select("_row", judged("_row.text").alias("_j")).select(*kept, "_j.severity", "_j.grade", "_j.p_toxic")
