@@ -10,7 +10,7 @@ import corpus_pipeline
 from telesift.llm import linededup
 
 NAMES = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = "_row string, _d string, _t2 string, _u double, _s string, _c string, _h string, _gone string, _spans string, _cut string, _m double, _id long, _class string, _host string, _rank double, _w string, n_lines string, class_id string, copies_ string"
+CLASHING = "_row string, _d string, _t2 string, _u double, _s string, _c string, _h string, _gone string, _spans string, _cut string, _m double, _id long, _class string, _host string, _rank double, _w string, n_lines string, class_id string, copies_ string, _j string, rep string, key string, words string, `a.b` string"
 
 
 @pytest.fixture(scope="module")
@@ -47,8 +47,7 @@ def test_line_dedup_stage(stages):
         lines = [x.strip(linededup.BLANK) for x in (r.text or "").split("\n")]
         kept = [x for i, x in enumerate(x for x in lines if x) if i not in gone[r.doc_id]]
         got = [x.strip(linededup.BLANK) for x in (after[r.doc_id].text or "").split("\n")]
-        if len(set(lines) - {""}) == len([x for x in lines if x]):
-            assert [x for x in got if x] == kept
+        assert [x for x in got if x] == kept
         if gone[r.doc_id]:
             assert after[r.doc_id].n_chars == len(after[r.doc_id].text)
 
@@ -82,7 +81,7 @@ def test_mix_stage(stages):
 
 def test_odd_rows(spark, sf):
     """Nulls, empty and long texts, repeats, and columns with the names that operators use inside."""
-    extra = [c.split() for c in CLASHING.split(", ")]
+    extra = [c.replace("`", "").split() for c in CLASHING.split(", ")]
     fill = {"string": "x", "double": 0.5, "long": 7}
     rows = [(*r, "en", "s" if r[0] != 4 else None, 3, *[fill[t] for _, t in extra]) for r in ODD]
     docs = spark.createDataFrame(rows, f"{NAMES}, {CLASHING}")
@@ -102,7 +101,7 @@ def test_odd_rows(spark, sf):
 def test_operators_keep_clashing_columns(spark):
     from telesift.llm import substrings, urls
 
-    extra = [c.split() for c in CLASHING.split(", ")]
+    extra = [c.replace("`", "").split() for c in CLASHING.split(", ")]
     fill = {"string": "x", "double": 0.5, "long": 7}
     values = [fill[t] for _, t in extra]
     text = "".join(f"{i}," for i in range(60))[:150]
