@@ -14,36 +14,21 @@ KATAKANA_END = "ヽヾー。「」、・"
 # Fixed values of the standard, as the table of additional signs of the libaribcaption project has them: the additional kanji
 # from row 85, place 1 on.  Compatibility forms stand as escapes, for text tools would replace them.
 EXTRA_KANJI = "㐂𠅘份仿侚俉傜儞冼㔟匇卡卬詹𠮷呍咖咜咩唎啊噲囤圳圴\ufa10墀姤娣婕寬\ufa11㟢庬弴彅德怗\ufa6b愰昤曈曙曺曻桒鿄椑椻橅檑櫛𣏌𣏾𣗄毱泠洮\ufa45涿淊淸\ufa46潞濹灤\ufa6c𤋮煇燁爀玟玨珉珖琛琡\ufa4a琦琪琬琹瑋㻚畵疁睲䂓磈磠祇禮鿆䄃鿅秚稞筿簱䉤綋羡脘脺\ufa6d芮葛蓜蓬蕙藎蝕蟬蠋裵角諶跎辻迶郝鄧鄭醲鈳銈錡鍈閒雞餃饀髙鯖鷗麴麵"
-# Fixed values from the same table: signs of rows 90 to 93 by their first byte, as code points or runs of them in
-# hexadecimal; .n leaves n places empty.
+# Fixed values from the same table: the signs of rows 90 to 94 by their first byte, from place 1 on; a blank is an empty place.
 SIGNS = {
-    0x7A: "26CC-26CD 2757 26CF-26D1 .1 26D2 26D5 26D3-26D4 .4 1F17F 1F18A .2 26D6-26E1 2B55 3248-324F .4 2491-2493 1F14A 1F14C 1F13F 1F146 1F14B 1F210-1F213 1F142 1F214-1F216 1F14D 1F131 1F13D 2B1B 2B24 1F217-1F21B 26BF 1F21C-1F225 1F14E 3299 1F200",
-    0x7B: "26E3 2B56-2B59 2613 328B 3012 26E8 3246 3245 26E9 0FD6 26EA-26EC 2668 26ED-26EF 2693 2708 26F0-26F5 1F157 24B9 24C8 26F6 1F15F 1F18B 1F18D 1F18C 1F179 26F7-26FA 1F17B 260E 26FB-26FE 1F17C 26FF",
-    0x7C: "27A1 2B05-2B07 2B2F 2B2E 5E74 6708 65E5 5186 33A1 33A5 339D 33A0 33A4 1F100 2488-2490 6C0F 526F 5143 6545 524D 65B0 1F101-1F10A 3233 3236 3232 3231 3239 3244 25B6 25C0 3016-3017 27D0 00B2-00B3 1F12D E2A5-E2C2 1F12C 1F12B 3247 1F190 1F226 213B",
-    0x7D: "322A-3230 3237 337E 337D 337C 337B 2116 2121 3036 26BE 1F240-1F248 1F12A 1F227-1F229 1F214 1F22A-1F231 2113 338F-3390 33CA 339E 33A2 3371 .2 00BD 2189 2153-2154 00BC 00BE 2155-215A 2150 215B 2151-2152 2600-2602 26C4 2616-2617 26C9-26CA 2666 2665 2663 2660 26CB 2A00 203C 2049 26C5 2614 26C6 2603 26C7 26A1 26C8 .1 269E-269F 266C 260E",
+    0x7A: "⛌⛍❗⛏⛐⛑ ⛒⛕⛓⛔    🅿🆊  ⛖⛗⛘⛙⛚⛛⛜⛝⛞⛟⛠⛡⭕㉈㉉㉊㉋㉌㉍㉎㉏    ⒑⒒⒓🅊🅌🄿🅆🅋🈐🈑🈒🈓🅂🈔🈕🈖🅍🄱🄽⬛⬤🈗🈘🈙🈚🈛⚿🈜🈝🈞🈟🈠🈡🈢🈣🈤🈥🅎㊙🈀",
+    0x7B: "⛣⭖⭗⭘⭙☓㊋〒⛨㉆㉅⛩࿖⛪⛫⛬♨⛭⛮⛯⚓✈⛰⛱⛲⛳⛴⛵🅗ⒹⓈ⛶🅟🆋🆍🆌🅹⛷⛸⛹⛺🅻☎⛻⛼⛽⛾🅼⛿",
+    0x7C: "➡⬅⬆⬇⬯⬮年月日円㎡㎥㎝㎠㎤🄀⒈⒉⒊⒋⒌⒍⒎⒏⒐氏副元故前新🄁🄂🄃🄄🄅🄆🄇🄈🄉🄊㈳㈶㈲㈱㈹㉄▶◀〖〗⟐²³🄭\ue2a5\ue2a6\ue2a7\ue2a8\ue2a9\ue2aa\ue2ab\ue2ac\ue2ad\ue2ae\ue2af\ue2b0\ue2b1\ue2b2\ue2b3\ue2b4\ue2b5\ue2b6\ue2b7\ue2b8\ue2b9\ue2ba\ue2bb\ue2bc\ue2bd\ue2be\ue2bf\ue2c0\ue2c1\ue2c2🄬🄫㉇🆐🈦℻",
+    0x7D: "㈪㈫㈬㈭㈮㈯㈰㈷㍾㍽㍼㍻№℡〶⚾🉀🉁🉂🉃🉄🉅🉆🉇🉈🄪🈧🈨🈩🈔🈪🈫🈬🈭🈮🈯🈰🈱ℓ㎏㎐㏊㎞㎢㍱  ½↉⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅑⅒☀☁☂⛄☖☗⛉⛊♦♥♣♠⛋⨀‼⁉⛅☔⛆☃⛇⚡⛈ ⚞⚟♬☎",
+    0x7E: "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ⑰⑱⑲⑳⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽⑾⑿㉑㉒㉓㉔🄐🄑🄒🄓🄔🄕🄖🄗🄘🄙🄚🄛🄜🄝🄞🄟🄠🄡🄢🄣🄤🄥🄦🄧🄨🄩㉕㉖㉗㉘㉙㉚①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯❶❷❸❹❺❻❼❽❾❿⓫⓬㉛",
 }
-# Runs of numbered signs in row 94, from its first place on.
-NUMBER_RUNS = ((0x2160, 12), (0x2470, 16), (0x3251, 4), (0x1F110, 26), (0x3255, 6), (0x2460, 16), (0x2776, 10), (0x24EB, 2), (0x325B, 1))
 
 
 def extra_table(more: dict[int, str] | None = None) -> dict[int, str]:
     """Sign by two-byte code (7 bits each) in rows 85 to 94; `more` adds those of other rows."""
     out = {(0x75 + i // 94) << 8 | 0x21 + i % 94: c for i, c in enumerate(EXTRA_KANJI)}
-    for row, runs in SIGNS.items():
-        at = row << 8 | 0x21
-        for run in runs.split():
-            if run[0] == ".":
-                at += int(run[1:])
-                continue
-            first, _, last = run.partition("-")
-            for c in range(int(first, 16), int(last or first, 16) + 1):
-                out[at] = chr(c)
-                at += 1
-    at = 0x7E21
-    for first, n in NUMBER_RUNS:
-        for k in range(n):
-            out[at] = chr(first + k)
-            at += 1
+    for row, signs in SIGNS.items():
+        out |= {row << 8 | 0x21 + i: c for i, c in enumerate(signs) if c != " "}
     return out | (more or {})
 
 
