@@ -84,4 +84,70 @@ total AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spa
 SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN total USING (doc_id) LEFT JOIN rest USING (doc_id)"""
 
-ORACLE_SQL = {"op2_chat_format": OP2, "op4_url_filter": op4(), "op7_decontaminate": OP7, "op9_vector_near_dedup": OP9, "op10_substring_dedup": OP10}
+#: White space at the ends of a line, and what a word has none of.
+BLANK = "' ' || chr(9) || chr(13) || chr(12) || chr(11) || chr(160) || chr(12288)"
+NTH = range(1, 6)
+
+
+def least_run(step: str) -> str:
+    """The shortest run of lines with five words from a line on (lead) or up to it (lag): (lines, number of lines)."""
+    out = "NULL"
+    for k in reversed(NTH):
+        total = " + ".join(f"coalesce({step}(n, {j}) OVER w, 0)" for j in range(k))
+        lines = ", ".join(f"{step}(line, {j}) OVER w" for j in (range(k) if step == "lead" else range(k - 1, -1, -1)))
+        out = f"CASE WHEN {step}(n, {k - 1}) OVER w IS NOT NULL AND {total} >= 5 THEN [{lines}] ELSE {out} END"
+    return out
+
+
+OP8 = f"""
+WITH parts AS (
+  SELECT doc_id, place, raw, trim(raw, {BLANK}) AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents
+        WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL GROUP BY doc_id HAVING count(*) = 1)) x),
+lines AS (
+  SELECT doc_id, place, line, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i
+  FROM parts WHERE line <> ''),
+runs AS (
+  SELECT doc_id, i, {least_run("lead")} AS ahead, {least_run("lag")} AS behind
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+places AS (
+  SELECT doc_id, i, i + len(ahead) - 1 AS last, ahead AS run FROM runs WHERE ahead IS NOT NULL
+  UNION ALL SELECT doc_id, i - len(behind) + 1, i, behind FROM runs WHERE behind IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i
+  FROM (SELECT doc_id, i, last, min(doc_id) OVER (PARTITION BY run) AS owner FROM places) x WHERE owner < doc_id),
+kept AS (
+  SELECT p.doc_id, count(g.i) AS n_removed, trim(coalesce(string_agg(p.raw, chr(10) ORDER BY p.place) FILTER (g.i IS NULL), ''), chr(10)) AS text
+  FROM parts p LEFT JOIN lines l ON l.doc_id = p.doc_id AND l.place = p.place LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i
+  GROUP BY p.doc_id HAVING count(g.i) > 0)
+SELECT d.doc_id, CAST(len(list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda x: trim(x, {BLANK}) <> '')) AS BIGINT) AS n_lines,
+  coalesce(k.n_removed, 0) AS n_removed, CAST(length(coalesce(k.text, d.text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(k.text, d.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+#: The checksum is the table-driven crc32 with the polynomial 0xEDB88320, over the bytes of the UTF-8 text.
+OP11 = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) x GROUP BY doc_id, run),
+hexed AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+bytes AS (SELECT run, c, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS b FROM hexed),
+hashed AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda h, x: xor(h // 256, t[(xor(h, x) & 255) + 1]))) AS h FROM bytes, crc_table),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words) x),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+form AS (
+  SELECT w.word, min(x.other) AS form, min(b.most) AS form_n
+  FROM words w JOIN best b USING (word) JOIN near x ON x.word = w.word AND x.n = b.most WHERE b.most >= 2 * w.n GROUP BY w.word),
+walk AS (SELECT word, form AS root FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.root),
+ends AS (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM form))
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN form f USING (word) LEFT JOIN ends e USING (word)"""
+
+ORACLE_SQL = {"op2_chat_format": OP2, "op4_url_filter": op4(), "op7_decontaminate": OP7, "op8_line_dedup": OP8, "op9_vector_near_dedup": OP9, "op10_substring_dedup": OP10, "op11_spelling_variants": OP11}
