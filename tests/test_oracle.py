@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same, connect
 
-from telesift.plans import catalog
+from telesift.plans import catalog, streams  # noqa: F401
 
 
 @pytest.fixture(scope="module")
