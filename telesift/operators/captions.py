@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.b24 import Decoder, extra_table
+from ..sources.scratch import cut, drop
+from ..sources.tables import Store
 from ..sources.ts import packets_in, ranges
 from .packets import demux_pes
 from .sections import caption_pids
@@ -250,22 +252,35 @@ def extract_files(files: DataFrame, pids: DataFrame, language: int | str = 1) ->
     return to_captions(decode_events(managed(caption_units(files, pids)), language))
 
 
+def streams(spark: SparkSession, target: str) -> Store:
+    """The store of caption PES at target."""
+    return Store(spark, target, {"pes": "path string, pkt_no long, pts_ms long, payload binary"}, {"pes": "path"})
+
+
 def write_pes(units: DataFrame, target: str) -> None:
-    units.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path").parquet(target)
+    """One commit with the caption PES of some recordings; what was stored for these before counts no longer."""
+    units = cut(units)
+    streams(units.sparkSession, target).commit({"pes": units}, {"pes": units})
+    drop(units)
+
+
+def read_pes(spark: SparkSession, target: str) -> DataFrame:
+    """(path, pkt_no, pts_ms, payload) of the stored caption PES."""
+    return streams(spark, target).rows("pes")
 
 
 def store_pes(packets: DataFrame, target: str) -> DataFrame:
-    """Writes the caption PES of recordings as Parquet, one partition a recording, and returns what is stored there.
+    """Stores the caption PES of recordings and returns all that is stored there.
 
     A recording that has some replaces what was stored for it; one without any leaves what is there.
     """
     write_pes(demux_pes(packets, caption_pids(packets)), target)
-    return packets.sparkSession.read.parquet(target)
+    return read_pes(packets.sparkSession, target)
 
 
 def regenerate(packets: DataFrame, target: str) -> DataFrame:
     """(path, made) for each recording of packets: whether it has a caption stream, which is then stored anew."""
-    made = demux_pes(packets, caption_pids(packets))
+    made = cut(demux_pes(packets, caption_pids(packets)))
     write_pes(made, target)
     has = made.select("path").distinct().withColumn("made", F.lit(True))
     return packets.select("path").distinct().join(has, "path", "left").select("path", F.coalesce("made", F.lit(False)).alias("made"))

@@ -39,11 +39,8 @@ def demux_pes(packets: DataFrame, caption_pids: DataFrame) -> DataFrame:
     own = packets.join(caption_pids, ["path", "pid"]).where("payload is not null")
     w = Window.partitionBy("path").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("island", F.sum(F.col("pusi").cast("int")).over(w)).where("island > 0")
-    parts = own.groupBy("path", "island").agg(F.min("pkt_no").alias("pkt_no"), F.sort_array(F.collect_list(F.struct("pkt_no", F.hex("payload").alias("x")))).alias("x"))
-    first = F.unhex(F.element_at("x", 1)["x"])
-    parts = parts.where(F.octet_length(first) >= 9)
-    raw = F.unhex(F.array_join(F.transform("x", lambda p: p["x"]), ""))
-    p = parts.select("path", "pkt_no", first.alias("first"), raw.alias("raw"))
+    raw = F.expr("listagg(payload) WITHIN GROUP (ORDER BY pkt_no)")
+    p = own.groupBy("path", "island").agg(F.min("pkt_no").alias("pkt_no"), F.min_by("payload", "pkt_no").alias("first"), raw.alias("raw")).where(F.octet_length("first") >= 9)
     declared = byte(F.col("raw"), 4) * 256 + byte(F.col("raw"), 5)
     p = p.withColumn("raw", F.when(declared > 0, F.substring("raw", F.lit(1), (declared + 6).cast("int"))).otherwise(F.col("raw")))
     has_pts = (F.shiftright(byte(F.col("first"), 7), 6) != 0) & (F.octet_length("first") >= 14)

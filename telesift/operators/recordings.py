@@ -93,32 +93,22 @@ def ingest_all(store: Store, on_disk: DataFrame, most: int = 10_000, now: Column
 def regenerate_next(store: Store, on_disk: DataFrame, target: str) -> int:
     """Makes the caption streams that done files lack in target, the folder of captions.store_pes(), and returns how many
     files were due.  Marked first and unmarked afterwards, whatever came of it."""
-    spark = store.spark
-    version = store.version()
-    t = store.load(version)
+    t = store.load()
     ids = t.ts_files.select("ts_file_id", "path")
-    blobs = ids.join(stored_paths(spark, target), "path", "left_semi").select("ts_file_id")
+    blobs = ids.join(captions.read_pes(store.spark, target).select("path"), "path", "left_semi").select("ts_file_id")
     due = cut(mutate.claim_regen(mutate.enqueue_missing_pes(t, blobs, on_disk).ts_files, None).join(ids, "ts_file_id").join(on_disk.select("path", "length"), "path"))
     n = due.count()
     if n:
-        store.change(lambda now: mutate.start_regen(now, due.select("ts_file_id")))
+        store.change(lambda t: mutate.start_regen(t, due.select("ts_file_id")))
         info = sections.file_info(due.select("path", "length"))
         pids = cut(info.where("caption_pid is not null").select("path", F.col("caption_pid").alias("pid")))
         captions.write_pes(captions.caption_units(due.select("path", "length"), pids), target)
-        store.change(lambda now: mutate.finish_regen(now, due.select("ts_file_id")))
+        store.change(lambda t: mutate.finish_regen(t, due.select("ts_file_id")))
         drop(pids)
     drop(due)
     return n
 
 
-def stored_paths(spark, target: str) -> DataFrame:
-    """The recordings that have a caption stream in target; none if there is no such folder yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], "path string")
-    return spark.read.schema("pkt_no long, pts_ms long, payload binary, path string").parquet(target).select("path").distinct()
-
-
 def dump(epg: DataFrame, caption_rows: DataFrame) -> DataFrame:
     """(path, no, line): fields of the event of each recording, then the number of its captions and each of them."""
     fields = ("title", "series_title", "episode_number", "sub_title", "event_start")

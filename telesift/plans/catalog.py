@@ -687,9 +687,9 @@ def _(t):
     return index.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("w5_frame_no", "SELECT caption_id, n, frame FROM (SELECT caption_id, unnest(range(0, 3)) AS n FROM thumbnails) x JOIN (VALUES (0, 'f_1.jpg'), (1, 'f_2.jpg'), (2, 'f_3.jpg')) v(k, frame) ON k = n")
+@query("w5_frame_no", "SELECT caption_id, n, caption_id || '_' || (n + 1) || '.jpg' AS frame FROM (SELECT caption_id, unnest(range(0, selected_frame + 1)) AS n FROM thumbnails) x")
 def _(t):
-    files = F.array(*[F.lit(f"f_{i}.jpg") for i in (1, 2, 3)])
+    files = F.transform(F.sequence(F.lit(1), F.col("selected_frame") + 1), lambda k: F.concat(F.col("caption_id").cast("string"), F.lit("_"), k.cast("string"), F.lit(".jpg")))
     return t.thumbnails.select("caption_id", F.inline(timeline.numbered(files))).select("caption_id", F.col("n").cast("long").alias("n"), F.col("file").alias("frame"))
 
 

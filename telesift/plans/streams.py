@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import actions, captions, mutate, packets, paging, search, sections, trigram
+from ..functions.b24 import decode_b24
+from ..operators import actions, captions, mutate, packets, paging, recordings, search, sections, trigram
 from ..sources import mux, tables, ts
 from ..sources.scratch import scratch_dir
 from .catalog import fold, query
@@ -127,6 +128,78 @@ def _(t):
     return e.select(doc_id(), "pts_start", "text", "language")
 
 
+@query("f14_require_captions", "SELECT doc_id, CAST(304 + doc_id % 3 AS INT) AS pid FROM documents WHERE doc_id % 10 <> 9")
+def _(t):
+    return sections.caption_pids(packets_of(t)).select(doc_id(), "pid")
+
+
+@query("w4_row_order_stable", "SELECT doc_id, count(*) AS n, CAST(sum(pts_start) AS BIGINT) AS starts, CAST(sum(pts_end) AS BIGINT) AS ends FROM timed WHERE pts_end > pts_start GROUP BY doc_id", LINES)
+def _(t):
+    """Captions from packets that lie in partitions in any order."""
+    found = captions.extract(packets_of(t).repartition(7, F.xxhash64("pkt_no", "path")))
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.sum("pts_start").alias("starts"), F.sum("pts_end").alias("ends")).select(doc_id(), "n", "starts", "ends")
+
+
+@query("b8_extract_epg", "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '(unknown)' ELSE title END AS title, CAST(CASE WHEN doc_id % 3 = 1 THEN DATE '2024-05-06' ELSE event_start END AS DATE) AS air_date FROM known", EVENT)
+def _(t):
+    """Event and air date from a late window, where that has none from an early one, and else from the file's time."""
+    p = packets_of(t)
+    services = sections.programme_info(p).select("path", "services")
+    i = F.col("path").cast("long")
+    late = sections.event_info(p.where((i % 3 == 0) & (F.col("pkt_no") >= 2)), services)
+    early = sections.event_info(p.where((i % 3 == 2) & (F.col("pkt_no") < 8)), services)
+    files = t.raw["documents"].select(F.col("doc_id").cast("string").alias("path"), F.lit("2024-05-06 10:00:00").cast("timestamp").alias("modified"))
+    return sections.recording_info(files, late, early).select(doc_id(), "title", "air_date")
+
+
+@query("b13_regenerate", "SELECT doc_id, doc_id % 10 <> 9 AS made FROM documents")
+def _(t):
+    """Caption streams stored anew, and which recordings have one."""
+    return captions.regenerate(packets_of(t), scratch_dir(t.captions.sparkSession)).select(doc_id(), "made")
+
+
+@query("s4_read_pes_blob", "SELECT doc_id, pts_start, text FROM shown", LINES)
+def _(t):
+    """Events from stored caption streams: the recordings are not read again."""
+    stored_pes = captions.store_pes(packets_of(t), scratch_dir(t.captions.sparkSession))
+    return captions.decode_events(captions.managed(stored_pes)).select(doc_id(), "pts_start", "text")
+
+
+@query("k7_dump_diagnostics", "SELECT doc_id, 'title: ' || title AS title, 'captions: ' || coalesce(n, 0) AS captions, coalesce(chars, 0) AS chars FROM known LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM timed WHERE pts_end > pts_start GROUP BY doc_id) x USING (doc_id)", LINES + "," + EVENT)
+def _(t):
+    """The lines of a dump: the title, the number of captions, and the text of all captions behind their times."""
+    p = packets_of(t)
+    epg = sections.with_series(sections.event_info(p, sections.programme_info(p).select("path", "services")))
+    lines = recordings.dump(epg, captions.extract(p))
+    text = F.regexp_replace("line", r"^\[[0-9:.]+ - [0-9:.]+\] ", "")
+    out = lines.groupBy("path").agg(
+        F.max(F.when(F.col("no") == 0, F.col("line"))).alias("title"),
+        F.max(F.when(F.col("no") == 5, F.col("line"))).alias("captions"),
+        F.coalesce(F.sum(F.when(F.col("no") > 5, F.char_length(text))), F.lit(0)).cast("long").alias("chars"),
+    )
+    return out.select(doc_id(), "title", "captions", "chars")
+
+
+# text codes
+
+@query("b9_decode_arib_b24", "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E\\n]', '?', 'g'), ' ' || chr(10)) AS text FROM documents")
+def _(t):
+    """Texts in the one-byte alphabet."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", "?")
+    return t.raw["documents"].select("doc_id", decode_b24(F.concat(F.lit(mux.LATIN), F.encode(plain, "US-ASCII"))).alias("text"))
+
+
+@query("b10_decode_gset", "SELECT doc_id, array_to_string(list_transform(string_split(source || lang, ''), lambda c: chr(12353 + unicode(c) - 33)), '') AS hiragana, array_to_string(list_transform(string_split(source || lang, ''), lambda c: chr(12449 + unicode(c) - 33)), '') AS katakana, source || lang AS shifted FROM documents")
+def _(t):
+    """The same codes in three sets: named for set 0, used from set 3 by the right half, and between shifts."""
+    raw = F.encode(F.concat("source", "lang"), "US-ASCII")
+    upper = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.hex(F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 128)), ""))
+    hiragana = F.concat(F.lit(b"\x1b\x28\x30\x0f"), raw)
+    katakana = F.concat(F.lit(b"\x1b\x7c"), upper)
+    shifted = F.concat(F.lit(b"\x0e"), raw)
+    return t.raw["documents"].select("doc_id", decode_b24(hiragana).alias("hiragana"), decode_b24(katakana).alias("katakana"), decode_b24(shifted).alias("shifted"))
+
+
 # the store and what stands on it
 
 

@@ -59,8 +59,10 @@ class Store:
     KEYS = {"programs": "program_id", "ts_files": "ts_file_id", "captions": "ts_file_id", "tags": "caption_id", "thumbnails": "caption_id"}
     IDS = {"programs": "program_id", "ts_files": "ts_file_id", "captions": "caption_id"}
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str] | None = None, keys: dict[str, str] | None = None):
+        """Of the five tables, or of others with a key each."""
         self.spark, self.path = spark, path
+        self.schemas, self.keys, self.ids = schemas or SCHEMAS, keys or self.KEYS, {} if schemas else self.IDS
         self.hadoop = spark._jvm.org.apache.hadoop.fs
         self.fs = self.hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -73,18 +75,20 @@ class Store:
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "parts": {t: [] for t in SCHEMAS}, "top": {}, "marks": {}}
+            return {"version": 0, "parts": {t: [] for t in self.schemas}, "top": {}, "marks": {}}
         return json.loads(self.spark.read.text(f"{self.path}/_versions/{version:010d}.json", wholetext=True).first()[0])
 
     def load(self, version: int | None = None) -> Tables:
-        """The tables of a version, the latest if none is named."""
+        """The five tables of a version, the latest if none is named."""
         parts = self.manifest(version)["parts"]
         return Tables(**{t: self.rows(t, parts[t]) for t in SCHEMAS}, raw={})
 
-    def rows(self, table: str, parts: list[dict]) -> DataFrame:
-        key = self.KEYS[table]
-        kind = dict(self.spark.createDataFrame([], SCHEMAS[table]).dtypes)[key]
-        put = self.read(table, "put", SCHEMAS[table], parts)
+    def rows(self, table: str, parts: list[dict] | None = None) -> DataFrame:
+        """The rows of a table that count, in the latest version if no parts are named."""
+        parts = self.manifest()["parts"][table] if parts is None else parts
+        key = self.keys[table]
+        kind = dict(self.spark.createDataFrame([], self.schemas[table]).dtypes)[key]
+        put = self.read(table, "put", self.schemas[table], parts)
         if all(p["kind"] == "put" for p in parts):
             return put.drop("_v")
         gone = self.read(table, "gone", f"{key} {kind}", parts).groupBy(key).agg(F.max("_v").alias("_gone"))
@@ -99,7 +103,7 @@ class Store:
     def top(self, table: str) -> DataFrame:
         """One row with the largest id that the table ever had, for mutate.next_ids(); the table is not read."""
         most = self.manifest()["top"].get(table, -1)
-        return self.spark.range(1).select(F.lit(most).cast("long").alias(self.IDS[table]))
+        return self.spark.range(1).select(F.lit(most).cast("long").alias(self.ids[table]))
 
     def commit(self, put: dict[str, DataFrame], gone: dict[str, DataFrame] | None = None, based_on: int | None = None, mark: tuple[str, int] | None = None) -> int:
         """Publishes a version in which the keys in gone are without their former rows and the rows in put are there.
@@ -115,13 +119,13 @@ class Store:
         for kind, changes in (("gone", gone or {}), ("put", put)):
             for table, df in changes.items():
                 name = uuid.uuid4().hex
-                df = df.select(self.KEYS[table]).distinct() if kind == "gone" else df.select(*[F.col(f.split()[0]) for f in SCHEMAS[table].split(", ")])
+                df = df.select(self.keys[table]).distinct() if kind == "gone" else df.select(*[F.col(f.split()[0]) for f in self.schemas[table].split(", ")])
                 most = Observation()
-                if kind == "put" and table in self.IDS:
-                    df = df.observe(most, F.max(self.IDS[table]).alias("top"))
+                if kind == "put" and table in self.ids:
+                    df = df.observe(most, F.max(self.ids[table]).alias("top"))
                 df.write.parquet(f"{self.path}/{table}/{kind}/_v={number}/_u={name}")
                 m["parts"][table].append({"kind": kind, "version": number, "name": name})
-                if kind == "put" and table in self.IDS and (top := most.get["top"]) is not None:
+                if kind == "put" and table in self.ids and (top := most.get["top"]) is not None:
                     m["top"][table] = max(top, m["top"].get(table, -1))
         if mark:
             m["marks"][mark[0]] = mark[1]
@@ -150,7 +154,7 @@ class Store:
         """Commits the difference of two states.  Tables that are the same object in both are not read; where no row
         differs and there is no mark, no version is made."""
         put, gone, kept = {}, {}, []
-        for table, key in self.KEYS.items():
+        for table, key in self.keys.items():
             a, b = getattr(before, table), getattr(after, table)
             if a is b:
                 continue

@@ -116,4 +116,4 @@ def test_three_phases(spark, tmp_path, at):
     assert sorted((r.ts_file_id, r.text) for r in t.captions.collect()) == [(i, x) for i in (0, 1) for x in ("one", "two")]
     assert t.captions.select("caption_id").distinct().count() == 4 and t.programs.count() == 1
     assert {c[0] for c in calls} == {"enqueue", "regenerate", "ingest"}
-    assert captions.decode_events(captions.managed(spark.read.parquet(streams))).count() == 2
+    assert captions.decode_events(captions.managed(captions.read_pes(spark, streams))).count() == 2

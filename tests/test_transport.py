@@ -234,7 +234,7 @@ def test_regenerate(spark, tmp_path):
     for _ in range(2):
         got = captions.regenerate(ts.scan(spark, [good, none]), target)
         assert {r.path: r.made for r in got.collect()} == {good: True, none: False}
-        assert spark.read.parquet(target).count() == 2
+        assert captions.read_pes(spark, target).count() == 2
     assert captions.store_pes(ts.scan(spark, [none]), target).count() == 2
 
 
@@ -295,7 +295,7 @@ def test_command_line(spark, tmp_path, capsys):
     want = sorted((r.ts_file_id, at, text) for r in files.values() for at, text in ((0, "one"), (2000, "two")))
     assert captions_of(t) == want and t.captions.select("caption_id").distinct().count() == 6
     main(["ingest", str(mount), where, "--streams", streams])
-    assert spark.read.parquet(streams).count() == 6 and captions_of(tables.load(spark, where)) == want
+    assert captions.read_pes(spark, streams).count() == 6 and captions_of(tables.load(spark, where)) == want
     main(["reingest", path, where])
     again = tables.load(spark, where)
     assert again.ts_files.where("status = 'pending'").first().path == path and again.captions.count() == 4
