@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import cut, joined, mix64, shared, slices, unused
+from .common import cut, joined, mix64, quoted, shared, slices, unused
 
 #: Bytes of the k-grams by which windows find their shard.
 GRAM = 24
@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     that have one of the new names are replaced, all others stay.
     """
     new = ("kept", "n_bytes", "spans")
-    kept = [c for c in docs.columns if c not in new]
+    kept = [quoted(c) for c in docs.columns if c not in new]
     once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"))
     twice = once.where("c > 1").select("doc_id")
     base = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
