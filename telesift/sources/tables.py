@@ -185,7 +185,8 @@ class Store:
         return self.version()
 
     def compact(self, most_parts: int = 20) -> int:
-        """Tables of more than most_parts folders get a single one with the rows that count."""
+        """Tables of more than most_parts folders get a single one with the rows that count; left out if another writer
+        publishes meanwhile."""
         version = self.version()
         m = self.manifest(version)
         number = version + 1
@@ -194,7 +195,28 @@ class Store:
             name = uuid.uuid4().hex
             self.rows(table, m["parts"][table]).write.parquet(f"{self.path}/{table}/put/_v={number}/_u={name}")
             m["parts"][table] = [{"kind": "put", "version": number, "name": name}]
-        return self.publish(m, number) if due else version
+        try:
+            return self.publish(m, number) if due else version
+        except Conflict:
+            return self.version()
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Deletes versions before the last `keep`, and folders that none of those name: of former versions, and of commits
+        that failed.  Returns the number of folders.  To be called while no writer is at work."""
+        last = self.version()
+        kept = [v for v in range(max(1, last - keep + 1), last + 1) if self.fs.exists(self.hadoop.Path(f"{self.path}/_versions/{v:010d}.json"))]
+        used = {(t, p["kind"], p["version"], p["name"]) for v in kept for t, parts in self.manifest(v)["parts"].items() for p in parts}
+        n = 0
+        for table in self.schemas:
+            for kind in ("put", "gone"):
+                for f in self.fs.globStatus(self.hadoop.Path(f"{self.path}/{table}/{kind}/_v=*/_u=*")) or ():
+                    folder = f.getPath()
+                    number, name = (x.getName().split("=")[1] for x in (folder.getParent(), folder))
+                    if (table, kind, int(number), name) not in used:
+                        n += self.fs.delete(folder, True)
+        for v in range(1, last - keep + 1):
+            self.fs.delete(self.hadoop.Path(f"{self.path}/_versions/{v:010d}.json"), False)
+        return n
 
 
 def load(spark: SparkSession, path: str) -> Tables:

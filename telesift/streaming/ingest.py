@@ -231,5 +231,6 @@ def ingest_stream(spark: SparkSession, mount: str, tables: str, checkpoint: str,
     def ingest(batch: DataFrame, batch_id: int) -> None:
         before("ingest", batch_id)
         recordings.ingest_all(store, listing(spark, mount))
+        store.compact()
 
     return run_phases(new_files(spark, mount), checkpoint, enqueue, regenerate, ingest, once)

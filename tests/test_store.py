@@ -108,6 +108,36 @@ def test_changes(spark, store):
     assert [tuple(r) for r in store.load().thumbnails.collect()] == [(4, 5)]
 
 
+def test_vacuum(spark, store):
+    """Old versions and what failed commits left go, the last versions stay readable."""
+    broken = captions(spark, 2, "c").withColumn("text", F.raise_error(F.lit("killed")).cast("string"))
+    with pytest.raises(Exception, match="killed"):
+        store.commit({"tags": rows(spark, "tags", (7, "z")), "captions": broken})
+    for i in range(3):
+        store.commit({"tags": rows(spark, "tags", (10 + i, "t"))})
+    store.compact(most_parts=1)
+    assert store.version() == 5 and store.load().tags.count() == 5
+    assert store.vacuum(keep=2) >= 1 and store.vacuum(keep=2) == 0
+    assert store.load().tags.count() == 5 and store.load(4).tags.count() == 5 and texts(store.load()) == [(1, "a"), (1, "b")]
+    assert store.vacuum(keep=1) == 4 and store.load().tags.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|exist"):
+        store.load(1)
+
+
+def test_compact_too_late(spark, store, monkeypatch):
+    """A compaction that another writer overtakes is left out."""
+    store.commit({"tags": rows(spark, "tags", (8, "w"))})
+    publish = store.publish
+
+    def late(m, number):
+        monkeypatch.setattr(store, "publish", publish)
+        store.commit({"tags": rows(spark, "tags", (9, "v"))})
+        return publish(m, number)
+
+    monkeypatch.setattr(store, "publish", late)
+    assert store.compact(most_parts=1) == 3 and store.load().tags.count() == 4
+
+
 def test_empty_store(spark, tmp_path):
     s = tables.Store(spark, str(tmp_path / "none"))
     assert s.version() == 0 and s.load().captions.count() == 0
