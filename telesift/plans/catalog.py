@@ -407,9 +407,12 @@ def _(t):
     return t.raw["documents"].select("doc_id", F.nullif(X.trim_u(x), F.lit("")).alias("value"))
 
 
-@query("x9_normalize_title", "SELECT doc_id, lower(concat(source, ' 123 ABC ', lang)) AS title FROM documents")
+@query("x9_normalize_title", "SELECT doc_id, lower(substr(coalesce(text, ''), 1, 60)) AS title FROM documents")
 def _(t):
-    return t.raw["documents"].select("doc_id", X.normalize_title(F.concat("source", F.lit("　１２３　ＡＢＣ "), "lang")).alias("title"))
+    """Titles in full-width signs become plain ones; accented letters only change their case."""
+    plain = "".join(map(chr, range(0x21, 0x7F)))
+    wide = F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 60), plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+    return t.raw["documents"].select("doc_id", X.normalize_title(wide).alias("title"))
 
 
 @query("x21_extract_pes_payload", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE hex(encode(CAST(o_orderkey AS VARCHAR))) END AS payload FROM orders")
