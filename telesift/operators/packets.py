@@ -28,6 +28,14 @@ def header(b1: Column, b2: Column, b3: Column, b4: Column) -> Column:
     return F.struct(F.shiftleft(b1.bitwiseAND(F.lit(31)), 8).bitwiseOR(b2).alias("pid"), (b1.bitwiseAND(F.lit(64)) != 0).alias("pusi"), afc.alias("afc"), start.cast("int").alias("payload_start"))
 
 
+def of_pids(packets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The packets whose PID stands in wanted (pid) for any recording, so that a join on path moves no others.
+
+    A PID has 13 bits, so the list that goes to all tasks has 8,192 rows at most.
+    """
+    return packets.join(F.broadcast(wanted.select("pid").distinct()), "pid", "left_semi").select(*packets.columns)
+
+
 def demux_pes(packets: DataFrame, caption_pids: DataFrame) -> DataFrame:
     """(path, pkt_no, pts_ms, payload): the PES of each file's caption stream, in packet order.
 
@@ -36,7 +44,7 @@ def demux_pes(packets: DataFrame, caption_pids: DataFrame) -> DataFrame:
     The time must lie in the first packet of a unit, 14 bytes long at least; the first time of all is time 0, whether or
     not its unit has a payload.
     """
-    own = packets.join(caption_pids, ["path", "pid"]).where("payload is not null")
+    own = of_pids(packets, caption_pids).join(caption_pids, ["path", "pid"]).where("payload is not null")
     w = Window.partitionBy("path").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("island", F.sum(F.col("pusi").cast("int")).over(w)).where("island > 0")
     raw = F.expr("listagg(payload) WITHIN GROUP (ORDER BY pkt_no)")

@@ -11,6 +11,7 @@ from ..functions import exprs as X
 from ..functions.b24 import Decoder, extra_table
 from ..sources.scratch import cut
 from ..sources.ts import EIT_FALLBACK, EIT_PACKETS, PSI_PACKETS, START_PERCENT, packets_in, ranges
+from .packets import of_pids
 
 PAT_PID, EIT_PID = 0, 0x12
 SECTION = pa.schema([("path", pa.string()), ("pid", pa.int32()), ("pkt_no", pa.int64()), ("section", pa.binary())])
@@ -117,9 +118,14 @@ def programme_info(packets: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
     captions win over the others, and the first of them is the caption stream.  Recordings with neither have an
     empty list and null.
     """
+    return with_streams(packets.select("path").distinct(), head_streams(packets, most))
+
+
+def head_streams(packets: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
+    """private_streams() of the first `most` packets.  What the association tables name is written to the shared folder,
+    for it is used more than once, and packets may be costly to make."""
     head = packets.where(F.col("pkt_no") < most)
-    found = associations(head)
-    return caption_streams(packets.select("path").distinct(), found, head)
+    return private_streams(cut(associations(head)), head)
 
 
 def file_info(files: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
@@ -127,12 +133,13 @@ def file_info(files: DataFrame, most: int = PSI_PACKETS) -> DataFrame:
     and once for the maps that it names."""
     found = cut(associations(packets_in(ranges(files.select("path", "length", F.array(F.lit(PAT_PID)).alias("pids")), most=most))))
     maps = files.select("path", "length").join(found.groupBy("path").agg(F.collect_set("pid").alias("pids")), "path")
-    return caption_streams(files.select("path"), found, packets_in(ranges(maps, most=most)))
+    return with_streams(files.select("path"), private_streams(found, packets_in(ranges(maps, most=most))))
 
 
-def caption_streams(paths: DataFrame, found: DataFrame, packets: DataFrame) -> DataFrame:
-    """programme_info of paths, from the maps that associations() found and packets that have these maps."""
-    own = packets.join(found.select("path", "pid", "pat_no"), ["path", "pid"]).where("pkt_no > pat_no").drop("pat_no")
+def private_streams(found: DataFrame, packets: DataFrame) -> DataFrame:
+    """Services and streams of the recordings that have any, from the maps that associations() found and packets that have
+    these maps."""
+    own = of_pids(packets, found).join(found.select("path", "pid", "pat_no"), ["path", "pid"]).where("pkt_no > pat_no").drop("pat_no")
     first = sections(own).groupBy("path", "pid").agg(F.min(F.struct("pkt_no", "section")).alias("f")).join(found, ["path", "pid"])
 
     def streams(batches):
@@ -145,17 +152,22 @@ def caption_streams(paths: DataFrame, found: DataFrame, packets: DataFrame) -> D
     w = Window.partitionBy("path", "service")
     es = es.withColumn("arib", F.max("named").over(w))
     order = F.struct("no", "i")
-    got = es.groupBy("path").agg(
+    return es.groupBy("path").agg(
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("arib"), F.struct("no", "service")))), lambda x: x["service"])).alias("a"),
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(~F.col("arib"), F.struct("no", "service")))), lambda x: x["service"])).alias("b"),
         F.min_by("pid", F.when(F.col("named"), order)).alias("pa"),
         F.min_by("pid", F.when(~F.col("named"), order)).alias("pb"),
     )
+
+
+def with_streams(paths: DataFrame, got: DataFrame) -> DataFrame:
+    """programme_info of paths, from private_streams()."""
     return paths.join(got, "path", "left").select("path", F.when(F.size("a") > 0, F.col("a")).otherwise(F.coalesce("b", F.array().cast("array<int>"))).alias("services"), F.coalesce("pa", "pb").alias("caption_pid"))
 
 
 def caption_pids(packets: DataFrame) -> DataFrame:
-    return programme_info(packets).where("caption_pid is not null").select("path", F.col("caption_pid").alias("pid"))
+    """(path, pid) of the recordings with a caption stream, written to the shared folder: it chooses packets, then joins them."""
+    return cut(head_streams(packets).select("path", F.coalesce("pa", "pb").alias("pid")).where("pid is not null"))
 
 
 def present_event(section: bytes) -> bool:

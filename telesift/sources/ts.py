@@ -31,7 +31,16 @@ def parse(path: str, first: int, raw: bytes, pids: Iterable[int] | None = None)
 
     What lacks the sync byte or a payload is left out.  Payloads are cut out of the packets that stay, in one piece.
     """
-    n = len(raw) // PACKET
+    return parse_runs([(path, first, raw)], pids)
+
+
+def parse_runs(runs: list[tuple[str, int, bytes]], pids: Iterable[int] | None = None) -> pa.RecordBatch:
+    """parse() of some runs (path, first, raw) in one batch: short recordings cost no batch each."""
+    counts = np.array([len(raw) // PACKET for _, _, raw in runs], np.int64)
+    n = int(counts.sum())
+    own = np.repeat(np.arange(len(runs)), counts)
+    number = np.arange(n) + np.repeat(np.array([first for _, first, _ in runs], np.int64) - (np.cumsum(counts) - counts), counts)
+    raw = runs[0][2] if len(runs) == 1 else b"".join(r if len(r) % PACKET == 0 else r[: len(r) // PACKET * PACKET] for _, _, r in runs)
     p = np.frombuffer(raw, dtype=np.uint8, count=n * PACKET).reshape(n, PACKET)
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
     keep = p[:, 0] == 0x47
@@ -47,10 +56,29 @@ def parse(path: str, first: int, raw: bytes, pids: Iterable[int] | None = None)
     np.cumsum(PACKET - start, out=ends[1:])
     body = p[np.arange(PACKET) >= start[:, None]]
     payload = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-    columns = [pa.array([path] * len(at), pa.string()), pa.array(at + first, pa.int64()), pa.array(pid, pa.int32()), pa.array((p[:, 1] & 0x40) != 0), pa.array(afc, pa.int32()), payload]
+    paths = pa.array([path for path, _, _ in runs], pa.string()).take(pa.array(own[at]))
+    columns = [paths, pa.array(number[at]), pa.array(pid, pa.int32()), pa.array((p[:, 1] & 0x40) != 0), pa.array(afc, pa.int32()), payload]
     return pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
 
+def parse_files(files: Iterable[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The packets of whole recordings (path, content), some thousand at a time, of one recording or of many.
+
+    Besides the recording at hand no more than CHUNK packets wait, so memory does not grow with the number of recordings.
+    """
+    runs, n = [], 0
+    for path, content in files:
+        for a in range(0, len(content), CHUNK * PACKET):
+            raw = content[a : a + CHUNK * PACKET]
+            if n and n + len(raw) > CHUNK * PACKET:
+                yield parse_runs(runs)
+                runs, n = [], 0
+            runs.append((path, a // PACKET, raw))
+            n += len(raw)
+    if runs:
+        yield parse_runs(runs)
+
+
 def read_range(path: str, first: int, count: int, pids: Iterable[int] | None = None) -> Iterator[pa.RecordBatch]:
     """The packets of `count` places from `first` on, some thousand at a time."""
     with open(path, "rb") as f:
@@ -211,8 +239,6 @@ def packets_of(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a in range(0, len(content), CHUNK * PACKET):
-                    yield parse(path, a // PACKET, content[a : a + CHUNK * PACKET])
+            yield from parse_files((path.as_py(), content.as_py()) for path, content in zip(batch.column(0), batch.column(1), strict=True))
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 from test_transport import CAPTION, NAMED, PMT, VIDEO, event, packet, pat, pes, pmt, sec, section, statement, stream_parts, whole, write
 
-from telesift.operators import recordings, sections
+from telesift.operators import packets, recordings, sections
 from telesift.sources import ts
 
 
@@ -147,3 +147,43 @@ def test_sections_over_batches(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [bytes(r.section) for r in got] == body and [r.pid for r in got[:2]] == [0x13, 0x12]
+
+
+def test_short_recordings_together():
+    """Many short recordings share a batch, and none is made before it is wanted: before, each made a batch of its own."""
+    raw = [stream_parts() * (1 + i % 3) for i in range(2000)]
+    files = [(str(i), b"".join(x) + b"cut off"[: i % 7]) for i, x in enumerate(raw)]
+    taken = []
+
+    def one_by_one():
+        for f in files:
+            taken.append(f[0])
+            yield f
+
+    got = ts.parse_files(one_by_one())
+    first = next(got)
+    most = ts.CHUNK + max(len(c) for _, c in files) // ts.PACKET
+    assert 1000 < first.num_rows <= most and len(taken) * min(len(c) for _, c in files) // ts.PACKET <= most
+    batches = [first, *got]
+    assert len(batches) < 20
+    one = [r for path, content in files for r in ts.parse(path, 0, content).to_pylist()]
+    assert [r for b in batches for r in b.to_pylist()] == one
+
+
+def test_long_recording_in_parts(monkeypatch):
+    """A recording longer than a batch, with others around it."""
+    monkeypatch.setattr(ts, "CHUNK", 7)
+    files = [("a", b"".join(stream_parts())), ("b", b"".join(stream_parts() * 5)), ("c", b""), ("d", b"".join(stream_parts()))]
+    batches = list(ts.parse_files(files))
+    assert max(b.num_rows for b in batches) <= 7
+    assert [r for b in batches for r in b.to_pylist()] == [r for path, content in files for r in ts.parse(path, 0, content).to_pylist()]
+
+
+def test_only_wanted_pids_move(spark, tmp_path):
+    """Of all packets only those of a PID that some recording has as its caption stream are shuffled to the join."""
+    path = write(tmp_path, "a.ts", stream_parts())
+    scan = ts.scan(spark, [path])
+    plan = packets.demux_pes(scan, sections.caption_pids(scan))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "broadcast" in plan
+    wanted = spark.createDataFrame([("other", CAPTION), ("more", CAPTION)], "path string, pid int")
+    assert rows(packets.of_pids(scan, wanted)) == rows(scan.where(F.col("pid") == CAPTION)) != []
