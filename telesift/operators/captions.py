@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.b24 import Decoder, extra_table
 from ..sources.scratch import cut, drop
 from ..sources.tables import Store
 from ..sources.ts import packets_in, ranges
-from .packets import demux_pes
+from .packets import byte, demux_pes
 from .sections import caption_pids
 from .timeline import caption_end, drop_empty_interval
 
@@ -24,6 +24,7 @@ DRAWN = "\u3013"
 #: Group ids of the second of two groups that alternate are by so much larger.
 GROUP_B = 0x20
 LANGUAGE = "struct<id: int, code: string, coding: int>"
+EVENT = pa.schema([("path", pa.string()), ("pkt_no", pa.int64()), ("pts_start", pa.int64()), ("i", pa.int32()), ("duration", pa.int64()), ("text", pa.string()), ("language", pa.string())])
 
 
 class CaptionCodes(Decoder):
@@ -46,6 +47,9 @@ class CaptionCodes(Decoder):
             self.drawn[named] = 0
         return super().escape(data, i)
 
+    def plain(self, data: bytes, i: int) -> str:
+        return super().plain(data, i) if self.single is None and not self.drawn[self.left] else ""
+
     def sign(self, data: bytes, i: int) -> tuple[str, int]:
         right = bool(data[i] & 0x80)
         used = self.single if self.single is not None else self.right if right else self.left
@@ -86,6 +90,11 @@ def screens(data: bytes, table: dict[int, str]) -> list[tuple[int, int | None, s
         if b == ESCAPE:
             i = codes.escape(data, i + 1)
             continue
+        if times == 1 and (run := codes.plain(data, i)):
+            if not small:
+                text.append(run)
+            i += len(run)
+            continue
         if b == CLEAR:
             close()
             small = medium = False
@@ -184,10 +193,17 @@ def managed(pes: DataFrame) -> DataFrame:
 
     Null before the first.  Both groups that alternate count.  Carried on in the order of pkt_no within a path.
     """
-    read = F.udf(lambda p: announced(bytes(p)), f"array<{LANGUAGE}>")
-    first = F.substring("payload", 1, 1).isin(b"\x80", b"\x81")
+    read = F.pandas_udf(lambda ps: ps.map(lambda p: None if p is None else announced(bytes(p))), f"array<{LANGUAGE}>")
+    group = F.when(group_id(F.col("payload")) % GROUP_B == 0, F.col("payload"))  # others do not go to Python
     w = Window.partitionBy("path").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return pes.withColumn("languages", F.last(F.when(first, read("payload")), ignorenulls=True).over(w))
+    return pes.withColumn("languages", F.last(read(group), ignorenulls=True).over(w))
+
+
+def group_id(payload: Column) -> Column:
+    """Id of the data group of a caption PES payload, as data_group() has it; null without one."""
+    at = 3 + byte(payload, 2).bitwiseAND(F.lit(15))
+    whole = F.substring(payload, 1, 1).isin(b"\x80", b"\x81") & (F.octet_length(payload) >= at + 5)
+    return F.when(whole, F.shiftright(byte(payload, at), 2))
 
 
 def announced(payload: bytes) -> list[tuple[int, str, int]] | None:
@@ -203,25 +219,24 @@ def decode_events(pes: DataFrame, language: int | str = 1) -> DataFrame:
     `languages` of each row (see managed(); a stream of stream_pes() has it).  Without that, a number is enough to tell
     statements apart, and a code finds none.  Each screen of a statement is an event.
     """
-    has = "languages" in pes.columns
-    pes = pes.select("path", "pkt_no", "pts_ms", "payload", F.col("languages") if has else F.lit(None).cast(f"array<{LANGUAGE}>").alias("languages"))
+    number = group_id(F.col("payload")) % GROUP_B
+    one = F.get(F.filter("languages", lambda x: x["id"] == F.col("number")), F.lit(0)) if "languages" in pes.columns else F.lit(None).cast(LANGUAGE)
+    own = pes.withColumn("number", number).where(F.col("number").between(1, 8)).withColumn("one", one)
+    own = own.where(F.col("number") == language if isinstance(language, int) else F.col("one.code") == language)
 
     def run(batches):
         table = extra_table()
         for b in batches:
-            out = []
-            for path, no, pts, payload, known in zip(b["path"], b["pkt_no"], b["pts_ms"], b["payload"], b["languages"], strict=True):
-                group = data_group(bytes(payload))
-                number = group[0] & ~GROUP_B if group else 0
-                if not 1 <= number <= 8:
-                    continue
-                one = next((x for x in (known if known is not None else ()) if x["id"] == number), None)
-                code = one["code"] if one else None
-                if language in (number, code):
-                    out += [(path, no, pts + at, i, wait, text, code) for i, (at, wait, text) in enumerate(statement(group[1], table, one["coding"] if one else 0))]
-            yield pd.DataFrame(out, columns=["path", "pkt_no", "pts_start", "i", "duration", "text", "language"]).astype({"duration": "Int64"})
-
-    rows = pes.mapInPandas(run, "path string, pkt_no long, pts_start long, i int, duration long, text string, language string")
+            out = [[] for _ in EVENT]
+            for row in zip(*b.columns, strict=True):
+                path, no, pts, payload, coding, code = (x.as_py() for x in row)
+                for i, (at, wait, text) in enumerate(statement(data_group(payload)[1], table, coding)):
+                    for values, value in zip(out, (path, no, pts + at, i, wait, text, code), strict=True):
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, EVENT, strict=True)], schema=EVENT)
+
+    rows = own.select("path", "pkt_no", "pts_ms", "payload", F.coalesce("one.coding", F.lit(0)).alias("coding"), F.col("one.code").alias("code"))
+    rows = rows.mapInArrow(run, "path string, pkt_no long, pts_start long, i int, duration long, text string, language string")
     return rows.select("path", (F.col("pkt_no") * 1000 + F.col("i")).alias("pos"), "pts_start", "duration", "text", "language")
 
 

@@ -1,11 +1,12 @@
 """The caption interpreter on golden bytes: screens, waits, repeats, sizes, drawn signs, and languages."""
 
+import random
 import struct
 
 import pytest
 from test_transport import CAPTION, NAMED, PMT, pat, pes, pmt, rows_of, sec, whole, write
 
-from telesift.functions.b24 import extra_table
+from telesift.functions.b24 import Decoder, decode, extra_table
 from telesift.operators import captions, packets
 from telesift.sources import ts
 from telesift.streaming import ingest
@@ -132,3 +133,19 @@ def test_language_in_stream(spark, tmp_path):
     for language in ("jpn", "eng", 1):
         events = [sorted((r.pts_start, r.text) for r in captions.decode_events(x, language).collect()) for x in (got, want)]
         assert events[0] == events[1] == WANT[language]
+
+
+def test_plain_runs(monkeypatch):
+    """Signs that stand for themselves are taken in runs, not one by one; the same text as by single signs."""
+    rng = random.Random(5)
+    some = [b"\x1b\x28\x42\x0f", b"\x0e", b"\x0f", b"\x1b\x28\x30", b"\x1b\x28\x20\x42", b"\x19", b"\x1d", b"\x98\x45", b"\x88", b"\x89", b"\x8a", b"\x0c", b"\x9d\x20\x45", b"\x0d", b"\x1b\x7c", b"\xb4\xc1", b"A few words", b" ", b"~!", b"\x30\x21"]
+    bodies = [b"".join(rng.choices(some, k=25)) for _ in range(3000)]
+    got = [(captions.screens(b, extra_table()), decode(b)) for b in bodies]
+    monkeypatch.setattr(captions.CaptionCodes, "plain", lambda *_: "")
+    monkeypatch.setattr(Decoder, "plain", lambda *_: "")
+    assert got == [(captions.screens(b, extra_table()), decode(b)) for b in bodies]
+
+
+def test_plain_runs_are_not_signs(monkeypatch):
+    monkeypatch.setattr(Decoder, "sign", lambda *_: 1 / 0)
+    assert captions.screens(b"\x1b\x28\x42\x0fmany plain signs", extra_table()) == [(0, None, "many plain signs")]
