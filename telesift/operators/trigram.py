@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ascii_fold, contains_folded
 
 
+STORED = "gram string, ids array<long>, step long, bucket int"
+POSTING = pa.schema([("gram", pa.string()), ("ids", pa.list_(pa.int64()))])
+#: Signs of text whose grams are listed together.
+TOGETHER = 1 << 20
+#: Captions whose ids are equal but for so many bits are listed together when an index is compacted.
+BLOCK = 20
+
+
 def trigrams(x: Column) -> Column:
     """The distinct runs of three characters.  One pass of a lookahead finds them, so time grows with the text."""
     return F.array_distinct(F.regexp_extract_all(ascii_fold(x), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
@@ -22,6 +32,53 @@ def build(captions: DataFrame, only: list[str] | None = None) -> DataFrame:
     return captions.select(F.explode(grams if only is None else F.filter(grams, lambda g: g.isin(only))).alias("gram"), "caption_id")
 
 
+def listed(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    """(gram, ids): each run of three characters of the texts, with the captions that have it."""
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    signs += 32 * ((signs >= 65) & (signs <= 90))
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    inside = np.flatnonzero(row[2:] == row[:-2])
+    used = np.bincount(signs) > 0
+    known, place = np.flatnonzero(used), (np.cumsum(used) - 1)[signs]
+    width, bits = len(known).bit_length(), len(texts).bit_length()
+    keys, names = (place[inside] << width | place[inside + 1]) << width | place[inside + 2], None
+    if 3 * width + bits > 63:  # so many different signs that the runs get numbers of their own
+        names, keys = np.unique(keys, return_inverse=True)
+    pairs = keys << bits | row[inside]
+    pairs.sort()
+    pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
+    gram, row = pairs >> bits, pairs & (1 << bits) - 1
+    starts = np.flatnonzero(np.diff(gram, prepend=-1))
+    keys = gram[starts] if names is None else names[gram[starts]]
+    starts, low = np.append(starts, len(gram)), (1 << width) - 1
+    parts = np.stack([keys >> 2 * width, keys >> width & low, keys & low], axis=1)
+    text = known[parts].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.array(ids, np.int64)[row], pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), lists], schema=POSTING)
+
+
+def postings(captions: DataFrame) -> DataFrame:
+    """(gram, ids): build() with the captions of a gram in lists, one for each TOGETHER signs of text.
+
+    A list costs eight bytes a caption where a row of its own costs its gram as well, and a place in the sort.
+    """
+
+    def run(batches):
+        for b in batches:
+            ids, texts, n = [], [], 0
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                text = text.as_py() or ""
+                if n and n + len(text) > TOGETHER:
+                    yield listed(ids, texts)
+                    ids, texts, n = [], [], 0
+                ids.append(i.as_py())
+                texts.append(text)
+                n += len(text)
+            yield listed(ids, texts)
+
+    return captions.where("caption_id is not null").select(F.col("caption_id").cast("long"), "text").mapInArrow(run, "gram string, ids array<long>")
+
+
 def grams_of(q: str) -> list[str]:
     """The grams of a search text."""
     folded = q.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -45,7 +102,7 @@ def maintain(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFram
 class Index:
     """A stored index of trigrams: folders of buckets by gram, with rows of captions that came and of captions that went.
 
-    A row has the step at which it was written.  A gram of a caption counts unless the caption went at a later step, so
+    A row has a gram, some of the captions with it, and the step at which it was written.  A gram of a caption counts unless the caption went at a later step, so
     steps must grow; a step that is written again changes nothing.  A caption touches only the buckets of its grams, and a
     search reads only those of its own.
     """
@@ -58,24 +115,23 @@ class Index:
 
     def write(self, rows: DataFrame, kind: str, step: int) -> None:
         rows = rows.withColumns({"step": F.lit(step).cast("long"), "bucket": self.bucket(F.col("gram"))})
-        rows.repartition("bucket").sortWithinPartitions("bucket", "gram", "caption_id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{kind}")
+        rows.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{kind}")
 
     def add(self, captions: DataFrame, step: int) -> None:
         """Captions (caption_id, text) that came."""
-        self.write(build(captions), "came", step)
+        self.write(postings(captions), "came", step)
 
     def remove(self, captions: DataFrame, step: int) -> None:
         """Captions (caption_id, text as it was) that went."""
-        self.write(build(captions), "went", step)
+        self.write(postings(captions), "went", step)
 
     def read(self, kind: str, grams: list[str]) -> DataFrame:
         """The rows of the buckets of some grams.  The condition on buckets is constant, so other folders are not opened."""
-        schema = "gram string, caption_id long, step long, bucket int"
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
-        return rows.where(F.col("bucket").isin([self.bucket(F.lit(g)) for g in grams]) & F.col("gram").isin(grams))
+            return self.spark.createDataFrame([], "gram string, caption_id long, step long, bucket int")
+        rows = self.spark.read.schema(STORED).parquet(f"{self.path}/{kind}")
+        return single(rows.where(F.col("bucket").isin([self.bucket(F.lit(g)) for g in grams]) & F.col("gram").isin(grams)))
 
     def candidates(self, q: str) -> DataFrame:
         """(caption_id) of captions that have all grams of q, which has one at least."""
@@ -93,7 +149,13 @@ class Index:
 
     def compact(self, other: Index) -> None:
         """What counts, written to another index."""
-        rows = self.spark.read.schema("gram string, caption_id long, step long, bucket int")
-        came = rows.parquet(f"{self.path}/came").groupBy("caption_id", "gram").agg(F.max("step").alias("step"))
-        went = rows.parquet(f"{self.path}/went").groupBy("caption_id", "gram").agg(F.max("step").alias("_gone"))
-        other.write(came.join(went, ["caption_id", "gram"], "left").where("_gone is null or step > _gone").select("gram", "caption_id"), "came", 0)
+        rows = self.spark.read.schema(STORED)
+        came = single(rows.parquet(f"{self.path}/came")).groupBy("caption_id", "gram").agg(F.max("step").alias("step"))
+        went = single(rows.parquet(f"{self.path}/went")).groupBy("caption_id", "gram").agg(F.max("step").alias("_gone"))
+        there = came.join(went, ["caption_id", "gram"], "left").where("_gone is null or step > _gone")
+        other.write(there.groupBy("gram", F.shiftright("caption_id", BLOCK)).agg(F.collect_list("caption_id").alias("ids")).select("gram", "ids"), "came", 0)
+
+
+def single(rows: DataFrame) -> DataFrame:
+    """Stored rows with one caption each."""
+    return rows.select("gram", F.explode("ids").alias("caption_id"), "step", "bucket")

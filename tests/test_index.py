@@ -89,3 +89,37 @@ def test_deep_search(spark, sf, monkeypatch):
     monkeypatch.setattr("telesift.operators.paging.page_of.__defaults__", (0,))
     deep = [search.search(t, SearchParams(q="the", page=p)).collect() for p in (0, 3, 5)]
     assert deep == plain and all(plain)
+
+
+def test_lists(spark, index):
+    """Captions of a gram are stored in lists: rows grow with the grams, not with the captions that have them."""
+    rows = captions(spark, *["The same Text of many"] * 500, "a\0b\0c", "\U0001f600x\U0001f600y", "ab", first=7).coalesce(1)
+    index.add(rows, 1)
+    want = {(g, r.caption_id) for r in rows.collect() for g in trigram.grams_of(r.text)}
+    stored = spark.read.parquet(index.path + "/came")
+    assert stored.count() == len({g for g, _ in want}) < 30
+    assert sorted(map(tuple, trigram.single(stored).select("gram", "caption_id").collect())) == sorted(want)
+
+
+def test_lists_of_some(spark, index, monkeypatch):
+    """Texts beyond what is listed together: the same grams in more rows."""
+    rows = captions(spark, *[f"text number {i}" for i in range(40)], None, "").coalesce(1)
+    plain = trigram.build(rows)
+    whole = trigram.postings(rows)
+    monkeypatch.setattr(trigram, "TOGETHER", 50)
+    parts = [trigram.listed([i], [f"text number {i}"]).num_rows for i in range(40)]
+    assert whole.count() < sum(parts)
+    assert sorted((r.gram, i) for r in whole.collect() for i in r.ids) == sorted((r.gram, r.caption_id) for r in plain.collect())
+
+
+@pytest.mark.parametrize("signs", [40, 300_000])
+def test_lists_of_many_signs(signs):
+    """Texts of a few signs, and of so many that a run and its caption do not fit in 64 bits."""
+    every = "".join(chr(0x10000 + i * 7919 % signs) for i in range(300_000))
+    texts = [every[i : i + 2000] for i in range(0, 300_000, 2000)] + ["AbC", "ab", ""]
+    got = trigram.listed([5 * i for i in range(len(texts))], texts)
+    want = {}
+    for i, x in enumerate(texts):
+        for g in trigram.grams_of(x):
+            want.setdefault(g, []).append(5 * i)
+    assert dict(zip(got["gram"].to_pylist(), got["ids"].to_pylist(), strict=True)) == want and got.num_rows == len(want)
