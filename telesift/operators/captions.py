@@ -248,9 +248,9 @@ def to_captions(events: DataFrame) -> DataFrame:
     return drop_empty_interval(caption_end(e, "path", "pos")).select("path", "pos", "pts_start", "pts_end", "text")
 
 
-def extract(packets: DataFrame, language: int | str = 1) -> DataFrame:
-    """Captions of recordings in one language, from their packets."""
-    return to_captions(decode_events(managed(demux_pes(packets, caption_pids(packets))), language))
+def extract(packets: DataFrame, language: int | str = 1, pids: DataFrame | None = None) -> DataFrame:
+    """Captions of recordings in one language, from their packets; pids (path, pid): their caption streams, where known."""
+    return to_captions(decode_events(managed(demux_pes(packets, caption_pids(packets) if pids is None else pids)), language))
 
 
 def caption_units(files: DataFrame, pids: DataFrame) -> DataFrame:

@@ -110,7 +110,11 @@ def regenerate_next(store: Store, on_disk: DataFrame, target: str) -> int:
 
 
 def dump(epg: DataFrame, caption_rows: DataFrame) -> DataFrame:
-    """(path, no, line): fields of the event of each recording, then the number of its captions and each of them."""
+    """(path, no, line): fields of the event of each recording, then the number of its captions and each of them.
+
+    Both tables are used twice; they are written to the shared folder, so that the recordings are read for them once.
+    """
+    epg, caption_rows = cut(epg), cut(caption_rows)
     fields = ("title", "series_title", "episode_number", "sub_title", "event_start")
     head = epg.select("path", F.posexplode(F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("(none)"))) for c in fields])).alias("no", "line"))
     count = caption_rows.groupBy("path").agg(F.count("*").alias("n"))

@@ -187,3 +187,11 @@ def test_only_wanted_pids_move(spark, tmp_path):
     assert "LeftSemi" in plan and "broadcast" in plan
     wanted = spark.createDataFrame([("other", CAPTION), ("more", CAPTION)], "path string, pid int")
     assert rows(packets.of_pids(scan, wanted)) == rows(scan.where(F.col("pid") == CAPTION)) != []
+
+
+def test_dump_reads_once(spark, tmp_path):
+    """A dump uses events and captions twice; neither is made again from packets."""
+    write(tmp_path, "a.ts", stream_parts())
+    lines = recordings.dump_files(ts.listing(spark, str(tmp_path)))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan and lines.count() > 5
