@@ -42,9 +42,11 @@ def demux_pes(packets: DataFrame, caption_pids: DataFrame) -> DataFrame:
     A packet that starts a unit starts an island; what follows belongs to it.  The declared length cuts it (0: none).
     Packets before the first start, starts with fewer than nine bytes, and PES without a time or payload are dropped.
     The time must lie in the first packet of a unit, 14 bytes long at least; the first time of all is time 0, whether or
-    not its unit has a payload.
+    not its unit has a payload.  PIDs are compared after a join on path alone: packets are shuffled by path once, for that
+    join and for all that follows, whatever the size of caption_pids.
     """
-    own = of_pids(packets, caption_pids).join(caption_pids, ["path", "pid"]).where("payload is not null")
+    streams = caption_pids.select("path", F.array("pid").alias("_pids"))
+    own = of_pids(packets, caption_pids).where("payload is not null").join(streams, "path").where(F.array_contains("_pids", F.col("pid"))).drop("_pids")
     w = Window.partitionBy("path").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("island", F.sum(F.col("pusi").cast("int")).over(w)).where("island > 0")
     raw = F.expr("listagg(payload) WITHIN GROUP (ORDER BY pkt_no)")

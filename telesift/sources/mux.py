@@ -9,20 +9,18 @@ PACKET, BODY = 188, 184
 #: Names the one-byte alphabet as set 0 and selects it.
 LATIN = b"\x1b\x28\x42\x0f"
 CAPTION_TAG = bytes([0xFD, 3, 0x00, 0x08, 0x3D])
+#: The flag of an adaptation field and the field, by the bytes that it has beyond its length.
+FILLED = [bytes([0x30, n]) + (b"\0" + b"\xff" * (n - 1) if n else b"") for n in range(BODY)]
 
 
 def packets(pid: int, data: bytes) -> bytes:
     """A unit in packets; the first has the start flag, the last is filled up by an adaptation field."""
-    out = bytearray()
+    first, more = bytes([0x47, 0x40 | pid >> 8, pid & 255]), bytes([0x47, pid >> 8, pid & 255])
+    out = []
     for at in range(0, len(data), BODY):
         part = data[at : at + BODY]
-        head = [0x47, (0x40 if not at else 0) | pid >> 8, pid & 255]
-        if len(part) == BODY:
-            out += bytes([*head, 0x10]) + part
-        else:
-            pad = BODY - len(part) - 1
-            out += bytes([*head, 0x30, pad]) + (b"\0" + b"\xff" * (pad - 1) if pad else b"") + part
-    return bytes(out)
+        out += [more if at else first, b"\x10" if len(part) == BODY else FILLED[BODY - 1 - len(part)], part]
+    return b"".join(out)
 
 
 def section(table: int, extension: int, body: bytes, number: int = 0) -> bytes:

@@ -206,3 +206,39 @@ def test_recordings_made_once(spark, sf, name, monkeypatch):
     monkeypatch.setattr(streams, "packets_of", lambda t, plain=streams.packets_of: made.append(1) or plain(t))
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert made == [1] and not re.search(r"MapInArrow run\(doc_id", plan)
+
+
+def test_packets_lie_by_path_once(spark, tmp_path):
+    """Where the list of caption streams is too large to broadcast, packets are shuffled once: before, by path and PID for the join
+    and by path again for the units."""
+    path = write(tmp_path, "a.ts", stream_parts())
+    scan = ts.scan(spark, [path])
+    pids = spark.createDataFrame([(path, CAPTION), (path, None), ("other", CAPTION)], "path string, pid int")
+    want = packets.demux_pes(scan, pids).orderBy("pkt_no").collect()
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pes = packets.demux_pes(scan, pids)
+        plan = pes._jdf.queryExecution().executedPlan().toString()
+        got = pes.orderBy("pkt_no").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    moved = [re.sub(r"#\d+", "", keys) for keys in re.findall(r"Exchange hashpartitioning\(([^\n]*?), \d+\)", plan)]
+    assert sorted(moved) == ["path", "path", "pid"]  # packets, streams, and the list of PIDs
+    assert got == want != []
+
+
+def test_recording_tables_shared():
+    """The tables that recordings share are made once, and differ with the service and the caption stream."""
+    streams.tables_of.cache_clear()
+    raw = {i: streams.recording(i, "web", "en", "a line") for i in range(240)}
+    assert streams.tables_of.cache_info().misses <= 8 * 4
+    for i, content in raw.items():
+        got = ts.parse(str(i), 0, content).to_pylist()
+        assert [p["pid"] for p in got[:6]] == [0, PMT, 0x12, 0x12, 0x12, VIDEO]
+        assert int.from_bytes(got[0]["payload"][13:15]) == 1024 + i % 8
+        named = [pid for pid, yes in sections.map_streams(got[1]["payload"][1:]) if yes]
+        assert named == ([] if i % 10 == 9 else [304 + i % 3])
