@@ -61,24 +61,30 @@ def parse_runs(runs: list[tuple[str, int, bytes]], pids: Iterable[int] | None =
     return pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
 
-def parse_files(files: Iterable[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-    """The packets of whole recordings (path, content), some thousand at a time, of one recording or of many.
+def parse_parts(parts: Iterable[tuple[str, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The packets of parts (path, number of the first packet, bytes) of recordings, some thousand at a time.
 
-    Besides the recording at hand no more than CHUNK packets wait, so memory does not grow with the number of recordings.
+    Besides the part at hand no more than CHUNK packets wait.
     """
     runs, n = [], 0
-    for path, content in files:
-        for a in range(0, len(content), CHUNK * PACKET):
-            raw = content[a : a + CHUNK * PACKET]
-            if n and n + len(raw) > CHUNK * PACKET:
-                yield parse_runs(runs)
-                runs, n = [], 0
-            runs.append((path, a // PACKET, raw))
-            n += len(raw)
+    for path, first, raw in parts:
+        if n and n + len(raw) > CHUNK * PACKET:
+            yield parse_runs(runs)
+            runs, n = [], 0
+        runs.append((path, first, raw))
+        n += len(raw)
     if runs:
         yield parse_runs(runs)
 
 
+def parse_files(files: Iterable[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The packets of whole recordings (path, content), some thousand at a time, of one recording or of many.
+
+    Besides the recording at hand no more than CHUNK packets wait, so memory does not grow with the number of recordings.
+    """
+    return parse_parts((path, a // PACKET, content[a : a + CHUNK * PACKET]) for path, content in files for a in range(0, len(content), CHUNK * PACKET))
+
+
 def read_range(path: str, first: int, count: int, pids: Iterable[int] | None = None) -> Iterator[pa.RecordBatch]:
     """The packets of `count` places from `first` on, some thousand at a time."""
     with open(path, "rb") as f:

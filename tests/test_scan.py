@@ -4,6 +4,7 @@ import builtins
 import re
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
@@ -231,14 +232,36 @@ def test_packets_lie_by_path_once(spark, tmp_path):
     assert got == want != []
 
 
+def lines_of(docs, rows):
+    """Arrow batches of so many lines of documents (doc_id, source, lang, lines)."""
+    flat = [{"doc_id": i, "source": source, "lang": lang, "k": k, "line": line} for i, source, lang, lines in docs for k, line in enumerate(lines)]
+    return [pa.RecordBatch.from_pylist(flat[a : a + rows]) for a in range(0, len(flat), rows)]
+
+
 def test_recording_tables_shared():
     """The tables that recordings share are made once, and differ with the service and the caption stream."""
     streams.tables_of.cache_clear()
-    raw = {i: streams.recording(i, "web", "en", "a line") for i in range(240)}
-    assert streams.tables_of.cache_info().misses <= 8 * 4
-    for i, content in raw.items():
-        got = ts.parse(str(i), 0, content).to_pylist()
-        assert [p["pid"] for p in got[:6]] == [0, PMT, 0x12, 0x12, 0x12, VIDEO]
+    raw = list(streams.parts_of(lines_of([(i, "web", "en", ["a line"]) for i in range(240)], 1000)))
+    assert streams.tables_of.cache_info().misses <= 8 * 4 and len(raw) == 240
+    for i, (path, first, content) in enumerate(raw):
+        got = ts.parse(path, first, content).to_pylist()
+        assert path == str(i) and [p["pid"] for p in got[:6]] == [0, PMT, 0x12, 0x12, 0x12, VIDEO]
         assert int.from_bytes(got[0]["payload"][13:15]) == 1024 + i % 8
         named = [pid for pid, yes in sections.map_streams(got[1]["payload"][1:]) if yes]
         assert named == ([] if i % 10 == 9 else [304 + i % 3])
+
+
+def test_recordings_from_lines(monkeypatch):
+    """A recording comes from lines, over several input batches: before, all of its document and others came in one."""
+    docs = [(7, "web", "en", ["line %d" % k for k in range(500)]), (9, "web", "en", ["", "b"]), (12, "books", "de", [""]), (12, "books", "de", ["", "\u00e9", ""])]
+    whole_batch = [r for b in ts.parse_parts(streams.parts_of(lines_of(docs, 10_000))) for r in b.to_pylist()]
+    numbers = [[r["pkt_no"] for r in whole_batch if r["path"] == p] for p in ("7", "9")]
+    assert all(n == list(range(len(n))) and n for n in numbers)
+    assert [r["pkt_no"] for r in whole_batch if r["path"] == "12"].count(0) == 2
+    monkeypatch.setattr(ts, "CHUNK", 20)
+    monkeypatch.setattr(streams, "PART", 10 * ts.PACKET)
+    taken = []
+    got = ts.parse_parts(streams.parts_of(taken.append(1) or b for b in lines_of(docs, 10)))
+    first = next(got)
+    assert len(taken) <= 3 and first.num_rows <= 20
+    assert first.to_pylist() + [r for b in got for r in b.to_pylist()] == whole_batch
